@@ -47,3 +47,9 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str) ->
     quick = left.join(hot, keys, "inner")
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right, keys, "inner")
     return quick.unionByName(rest)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "16m") -> None:
+    """Keeps Arrow batches small in bytes, so that long texts don't pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesignal.llm.bpe import bpe_round_trip
 from sitesignal.llm.exact_dedup import exact_dedup
 from sitesignal.session import table
 
@@ -13,7 +14,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup,)}
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe)}
 
 ORACLES = {
     "op1_exact_dedup": """
