@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm.bpe import bpe_round_trip
 from sitesignal.llm.exact_dedup import exact_dedup
+from sitesignal.llm.simhash import near_dedup
 from sitesignal.session import table
 
 
@@ -14,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public tokenizer's vocabulary."""
     import public_tokenizers
@@ -31,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe)}
 
 ORACLES = {
     "op1_exact_dedup": """
