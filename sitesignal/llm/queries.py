@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm.bpe import bpe_round_trip
 from sitesignal.llm.exact_dedup import exact_dedup
+from sitesignal.llm.html_extract import extract_text
 from sitesignal.llm.simhash import near_dedup
 from sitesignal.llm.topk import top_k
 from sitesignal.session import table
@@ -41,7 +42,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk)}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op7_html_text)}
 
 ORACLES = {
     "op1_exact_dedup": """
