@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitesignal.llm.bpe import bpe_round_trip
 from sitesignal.llm.exact_dedup import exact_dedup
 from sitesignal.llm.html_extract import extract_text
+from sitesignal.llm.langid import language_id
 from sitesignal.llm.simhash import near_dedup
 from sitesignal.llm.topk import top_k
 from sitesignal.session import table
@@ -46,7 +47,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op7_html_text)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op7_html_text, op9_language_id)}
 
 ORACLES = {
     "op1_exact_dedup": """
