@@ -9,6 +9,7 @@ from sitesignal.llm.bpe import bpe_round_trip
 from sitesignal.llm.exact_dedup import exact_dedup
 from sitesignal.llm.html_extract import extract_text
 from sitesignal.llm.langid import language_id
+from sitesignal.llm.mixing import mix
 from sitesignal.llm.quality import score, train
 from sitesignal.llm.simhash import near_dedup
 from sitesignal.llm.topk import top_k
@@ -57,7 +58,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op7_html_text, op9_language_id, op10_quality)}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), repeat=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_html_text, op9_language_id, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
