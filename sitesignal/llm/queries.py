@@ -11,6 +11,7 @@ from sitesignal.llm.html_extract import extract_text
 from sitesignal.llm.langid import language_id
 from sitesignal.llm.mixing import mix
 from sitesignal.llm.quality import score, train
+from sitesignal.llm.quotes import link_quotations
 from sitesignal.llm.simhash import near_dedup
 from sitesignal.llm.topk import top_k
 from sitesignal.session import table
@@ -62,7 +63,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), repeat=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_html_text, op9_language_id, op10_quality)}
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_html_text, op8_quotations, op9_language_id, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -82,4 +87,47 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op8_quotations": r"""
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS k, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS t FROM conversations),
+        l0 AS (SELECT k, conv_id, turn, unnest(string_split_regex(t, '\r?\n')) AS line, generate_subscripts(string_split_regex(t, '\r?\n'), 1) AS pos FROM m),
+        l1 AS (
+            SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
+                regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') AS content
+            FROM l0
+        ),
+        l2 AS (
+            SELECT *, level = 0 AND NOT (
+                    regexp_matches(content, '(?i)^(on|am|le|el) .*(wrote|schrieb.*|écrit|escribió)\s*:\s*$')
+                    AND coalesce(lead(level) OVER (PARTITION BY k ORDER BY pos) > 0, false)
+                ) AS is_own
+            FROM l1
+        ),
+        o AS (
+            SELECT m.k, m.conv_id, m.turn, m.role, regexp_replace(coalesce(x.own, ''), '^\s*\n|\s+$', '', 'g') AS own
+            FROM m LEFT JOIN (SELECT k, string_agg(content, chr(10) ORDER BY pos) AS own FROM l2 WHERE is_own GROUP BY k) x USING (k)
+        ),
+        r AS (SELECT *, pos - row_number() OVER (PARTITION BY k, level ORDER BY pos) AS run FROM l2 WHERE level > 0),
+        p AS (SELECT k, conv_id, turn, level, string_agg(content, chr(10) ORDER BY pos) AS passage FROM r GROUP BY k, conv_id, turn, level, run),
+        q0 AS (SELECT conv_id, turn, level, unnest(list_prepend(passage, string_split(passage, chr(10)))) AS x FROM p),
+        q AS (SELECT DISTINCT conv_id, turn, level, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM q0),
+        s0 AS (SELECT conv_id, turn, unnest(list_prepend(own, string_split(own, chr(10)))) AS x FROM o),
+        s AS (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM s0),
+        f AS (
+            SELECT q.conv_id, q.turn, q.level, q.piece, max(s.turn) AS found
+            FROM q JOIN s ON q.conv_id = s.conv_id AND q.piece = s.piece AND s.turn < q.turn AND length(q.piece) >= 12 GROUP BY ALL
+        ),
+        v AS (SELECT conv_id, turn, level, found, sum(length(piece)) AS w FROM f GROUP BY ALL),
+        b AS (SELECT conv_id, turn, arg_max(found, (-level, w, found)) AS voted FROM v GROUP BY ALL),
+        t AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM o)),
+        g AS (SELECT t.conv_id, t.turn, coalesce(b.voted, t.prev) AS parent, b.voted IS NOT NULL AS linked FROM t LEFT JOIN b USING (conv_id, turn)),
+        h AS (SELECT *, parent IS NOT NULL AND turn = min(turn) OVER (PARTITION BY conv_id, parent) AS goes_on FROM g),
+        c AS (
+            SELECT conv_id, turn, turn AS branch FROM h WHERE NOT goes_on
+            UNION ALL SELECT h.conv_id, h.turn, c.branch FROM h JOIN c ON h.goes_on AND h.conv_id = c.conv_id AND h.parent = c.turn
+        ),
+        z AS (SELECT *, row_number() OVER (PARTITION BY conv_id, branch ORDER BY turn) AS position FROM c)
+        SELECT o.conv_id, CAST(z.branch AS BIGINT) AS branch, CAST(z.position AS BIGINT) AS position, CAST(o.turn AS BIGINT) AS turn,
+            CAST(h.parent AS BIGINT) AS parent_turn, h.linked, o.role, o.own AS text, '<|' || o.role || '|>' || chr(10) || o.own AS chat
+        FROM o JOIN z USING (conv_id, turn) JOIN h USING (conv_id, turn)
+    """,
 }
