@@ -13,6 +13,7 @@ from sitesignal.llm.mixing import mix
 from sitesignal.llm.quality import score, train
 from sitesignal.llm.quotes import link_quotations
 from sitesignal.llm.simhash import near_dedup
+from sitesignal.llm.suffix_dedup import suffix_dedup
 from sitesignal.llm.topk import top_k
 from sitesignal.session import table
 
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -67,7 +72,7 @@ def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_html_text, op8_quotations, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_bpe, op5_topk, op6_mixing, op7_html_text, op8_quotations, op9_language_id, op10_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
