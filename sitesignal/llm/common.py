@@ -53,3 +53,9 @@ def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "16m") ->
     """Keeps Arrow batches small in bytes, so that long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A name made of identifier and whole text; nulls count as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))

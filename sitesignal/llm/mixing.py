@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches, staged
+from sitesignal.llm.common import bounded_batches, row_key, staged
 
 #: Documents in a group of a flight, on average.
 GROUP = 256
@@ -31,7 +31,7 @@ BROADCAST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, size (words) and row for each row of docs."""
+    """id, source, size (words), key and row for each row of docs."""
     bounded_batches(docs.sparkSession)
     types = {c: docs.schema[c].dataType.simpleString() for c in (id_col, source_col)}
 
@@ -39,10 +39,10 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         for batch in batches:
             # on bytes, split() parts words at 20 and 09-0D only
             n = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["id", "source", "size", "key"])
 
-    rows = docs.select(id_col, source_col, F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"id {types[id_col]}, source {types[source_col]}, size long").withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(id_col, source_col, F.col(text_col).cast("string").alias("__text"), row_key(id_col, text_col).alias("__key"))
+    return rows.mapInArrow(run, f"id {types[id_col]}, source {types[source_col]}, size long, key string").withColumn("row", F.monotonically_increasing_id())
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat: float = 3.0) -> DataFrame:
@@ -166,16 +166,34 @@ def _fly(last: bool):
     return run
 
 
-def mix(
+def take(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat: int = 3, id_col: str = "doc_id",
     text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of docs as many times as the mix takes them, with all their columns.
+
+    Rows that repeat identifier and text count as one document, taken as often as all of them together.
+    """
+    mixed = mix(docs, weights, repeat, id_col, text_col, source_col, keyed=True)
+    copies = mixed.where("taken > 0").groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    copies = staged(copies.withColumnRenamed("key", "__name"), "mix-copies")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    found = keyed.join(copies.hint("shuffle_hash"), keyed["__key"] == copies["__name"])
+    if copies.where("__rows > 1").limit(1).count():
+        found = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["__key"]))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat: int = 3, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source", keyed: bool = False,
 ) -> DataFrame:
     """One row for each row of docs: id_col, size, source_size, target, taken (words the mix takes, repeats counted).
 
     A null text has size 0; a null source is a source of its own, last in order. Documents without words take nothing.
     taken is size times 0 to `repeat`. Reruns agree: every draw depends on identifiers, sizes and sources only; among rows
     that repeat all three, which of them is taken is open, but how many is not. An empty table gives an empty result.
-    Other columns are not read.
+    Other columns are not read. keyed: with row_key in a further column, key.
     """
     rows = staged(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
@@ -213,4 +231,5 @@ def mix(
         plan = plan.join(done.select("row", F.lit(1).alias("one")), "row", "left")
         extra = F.coalesce("one", F.lit(0))
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0))
-    return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
+    taken = (F.col("size") * copies).cast("long").alias("taken")
+    return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, *["key"] * keyed)

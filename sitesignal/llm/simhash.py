@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches, join_hot, staged
+from sitesignal.llm.common import bounded_batches, join_hot, row_key, staged
 from sitesignal.llm.components import components
 
 #: Nodes in one BK-tree.
@@ -29,21 +29,14 @@ SHARD = 4096
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The unsigned 64-bit fingerprint of one text; 0 if it has no words."""
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of one text; 0 if it has no words. words = 0: of its distinct words."""
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z only, and white space is 20 and 09-0D
     if not parts:
         return 0
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        hashes = [xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        stops = (ends[words - 1 :] - 1).tolist()
-        starts = [0, *ends[: len(parts) - words].tolist()]
-        hashes = [xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)]
+    hashes = [xxh64_intdigest(s, seed) for s in (set(parts) if words == 0 else shingles(parts, words))]
     total = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 32768):
         part = np.array(hashes[lo : lo + 32768], dtype=">u8")
@@ -52,18 +45,31 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """id, fp for each row of docs; fp holds the 64 bits as a signed long."""
+def shingles(parts: list[bytes], words: int) -> list[bytes]:
+    """All runs of `words` words, joined by spaces; the whole sequence if it is shorter."""
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return [joined]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    stops = (ends[words - 1 :] - 1).tolist()
+    starts = [0, *ends[: len(parts) - words].tolist()]
+    return [joined[i:j] for i, j in zip(starts, stops, strict=True)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """id, fp for each row of docs; fp holds the 64 bits as a signed long. More seeds: fp, fp1, ..."""
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            texts = batch.column(1).to_pylist()
+            fps = [np.array([fingerprint(t, words, s) for t in texts], dtype=np.uint64) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in fps]], names=["id", *names])
 
+    names = ["fp", *[f"fp{k}" for k in range(1, len(seeds))]]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {id_type}, fp long"
+        run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names)
     )
 
 
@@ -137,8 +143,32 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[apart], b[apart]
 
 
-def _links(cell: np.ndarray, own: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links that connect each cell: cell sorted; own: whether the row belongs in the cell's tree."""
+def _shortest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of links that connect all that the links (a, b) connect, short ones first: a minimum spanning forest."""
+    label, out = np.arange(n), []
+    for level in np.unique(d).tolist():
+        at = np.flatnonzero(d == level)
+        while True:
+            la, lb = label[a[at]], label[b[at]]
+            apart = la != lb
+            at, high, low = at[apart], np.maximum(la, lb)[apart], np.minimum(la, lb)[apart]
+            if not at.size:
+                break
+            high, pick = np.unique(high, return_index=True)  # each class joins a smaller one by one link
+            out.append(at[pick])
+            hook = np.arange(n)
+            hook[high] = low[pick]
+            while not np.array_equal(hop := hook[hook], hook):
+                hook = hop
+            label = hook[label]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _links(cell: np.ndarray, own: np.ndarray, value: np.ndarray, radius: int, real: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The links that connect each cell: cell sorted; own: whether the row belongs in the cell's tree.
+
+    real: each link is between two nodes within the radius, and short ones come first; else from nodes to their
+    class's smallest."""
     n = len(value)
     label = np.arange(n)
     tree = np.flatnonzero(own)
@@ -150,13 +180,23 @@ def _links(cell: np.ndarray, own: np.ndarray, value: np.ndarray, radius: int) ->
     where = np.searchsorted(cell[tree], cell[rows])
     has = (where < len(tree)) & (cell[tree[np.minimum(where, len(tree) - 1)]] == cell[rows]) if len(tree) else np.zeros(len(rows), bool)
     rows, root = rows[has], where[has]
+    if real:
+        links = np.zeros((3, 0), dtype=np.int64)
+        for q, node in forest.search(rows, value[rows], root, radius):
+            node = tree[node]
+            distance = np.bitwise_count(value[q] ^ value[node]).astype(np.int64)
+            links = np.concatenate([links, np.stack([q, node, distance])[:, q != node]], axis=1)
+            if links.shape[1] > 4 * FRONTIER:
+                links = links[:, _shortest(n, *links)]
+        links = links[:, _shortest(n, *links)]
+        return value[links[0]], value[links[1]]
     for q, node in forest.search(rows, value[rows], root, radius):
         _unite(label, q, tree[node])
     moved = np.flatnonzero(label != np.arange(n))
     return value[moved], value[label[moved]]
 
 
-def _search_cells(radius: int):
+def _search_cells(radius: int, real: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
@@ -173,7 +213,7 @@ def _search_cells(radius: int):
             if not many.any():
                 return None
             own = (part == x)[:end][many]
-            a, b = _links(cell[many], own, fp[:end][many].view(np.uint64), radius)
+            a, b = _links(cell[many], own, fp[:end][many].view(np.uint64), radius, real)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -187,8 +227,10 @@ def _search_cells(radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """a, b: links that connect all nodes (staged column fp, distinct longs) within the radius of each other."""
+def near_links(nodes: DataFrame, radius: int = 4, blocks: int = 6, real: bool = False) -> DataFrame:
+    """a, b: links that connect all nodes (staged column fp, distinct longs) within the radius of each other.
+
+    real: every link is itself within the radius, short ones preferred."""
     masks = F.array(*[F.lit(m) for m in block_masks(radius, blocks)])
     entries = nodes.select("fp", F.posexplode(masks).alias("t", "mask"))
     entries = entries.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
@@ -205,7 +247,7 @@ def near_links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     spark = nodes.sparkSession
     bounded_batches(spark, rows=1 << 16)
     cells = entries.repartition("t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
-    return cells.select("t", "key", "x", "y", "part", "fp").mapInArrow(_search_cells(radius), "a long, b long")
+    return cells.select("t", "key", "x", "y", "part", "fp").mapInArrow(_search_cells(radius, real), "a long, b long")
 
 
 def near_dedup(
@@ -230,3 +272,77 @@ def near_dedup(
     return join_hot(prints, known, ["fp"], "size").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+    radius: int = 5, blocks: int = 7, seeds: tuple[int, ...] = (42, 7),
+) -> DataFrame:
+    """key, id, first for each distinct row (id, text) of docs: first is the key of its group's smallest id.
+
+    Texts are alike if the sets of their `words`-word shingles have a Jaccard similarity of `similarity` or more; groups
+    are what chains of alike texts connect. Candidates come from two SimHashes of the distinct words, linked through
+    BK-trees as in near_dedup; each candidate link is checked on the whole texts. key is made of id and text, so
+    identifiers that repeat with other texts don't mix; null ids and texts count as empty.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    prints = fingerprints(rows.withColumn("both", F.struct("key", "id")), "both", "text", 0, seeds)
+    prints = staged(prints.select("id.*", *prints.columns[1:]).distinct(), "prints")
+    links = None
+    for name in prints.columns[2:]:
+        nodes = staged(prints.groupBy(F.col(name).alias("fp")).agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")), "nodes")
+        same = join_hot(prints.select("key", F.col(name).alias("fp")), nodes, ["fp"], "size").where("key <> rep")
+        same = same.select(F.col("key").alias("a"), F.col("rep").alias("b"))
+        ends = [nodes.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}2")) for c in "ab"]
+        near = near_links(nodes.select("fp"), radius, blocks, real=True).distinct()
+        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        found = same.unionByName(near)
+        links = found if links is None else links.unionByName(found)
+    links = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    asked = links.select(F.col("a").alias("wanted")).unionByName(links.select(F.col("b").alias("wanted"))).distinct()
+    wanted = rows.join(asked.hint("shuffle_hash"), rows["key"] == asked["wanted"]).select("key", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                parts = t.encode("utf-8").lower().split()
+                hashes = np.array([xxh64_intdigest(s, 42) for s in shingles(parts, words)] if parts else [], dtype=np.uint64)
+                out.append(np.unique(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    bounded_batches(docs.sparkSession)
+    hashes = staged(wanted.mapInArrow(sets, "key string, hashes binary").dropDuplicates(["key"]), "shingles")
+    left, right = (hashes.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    checked = links.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(alike, "a string, b string")
+    labels = components(checked)
+    grouped = prints.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    grouped = staged(grouped.select("key", "id", F.coalesce("label", "key").alias("label")), "grouped")
+    best = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")
+    first = staged(grouped.groupBy("label").agg(best, F.count(F.lit(1)).alias("size")), "first")
+    return join_hot(grouped, first, ["label"], "size").select("key", "id", F.col("best.key").alias("first"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that are their group's first, with all their columns; of rows that repeat, one."""
+    groups = staged(similar_groups(docs, id_col, text_col, words, similarity), "groups")
+    names = groups.where("key = first").select(F.col("key").alias("__first"))
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    kept = keyed.join(names.hint("shuffle_hash"), keyed["__key"] == names["__first"], "left_semi")
+    again = staged(docs.select(row_key(id_col, text_col).alias("__key")).groupBy("__key").count().where("count > 1").select("__key"), "repeats")
+    if again.limit(1).count():
+        once = kept.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+        kept = kept.join(again, "__key", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
