@@ -13,8 +13,9 @@ differ). A string occurs again exactly if its suffix shares `length` symbols wit
 The collections come to a task as sorted files, one after the other; as many as fit CHUNK are indexed together with
 whole-array steps, so memory is bounded by CHUNK and the largest collection.
 
-A collection of over LARGE stretches is divided by content first: into pieces of PIECE strings, by the bytes that all
-strings of a piece share. Texts that are equal as a whole are handled once.
+A common line makes a large collection. Where one has over LARGE stretches, its strings get another anchor, a longer
+gram, which the line alone can't fill; equal strings still share it. The grams of the last step are whole strings: such
+a collection is of equal strings, and any share of it says so. Texts that are equal as a whole are handled once.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm.common import bounded_batches, join_hot, staged
 
-#: Bytes of a gram.
-GRAM = 64
+#: Bytes of a gram: the shortest first, then those for the strings of large collections; None: whole strings.
+GRAMS = (64, 256, 384, None)
 #: Bytes whose anchors are found together; longer texts go in parts that overlap by a string.
 PART = 1 << 20
 #: Bytes of lined-up stretches that are indexed together.
 CHUNK = 8 << 20
-#: Stretches from which a collection is divided, and strings in a piece.
-LARGE = 4096
-PIECE = 16
+#: Stretches from which a collection's strings get a longer anchor; of so many collections at a time, the largest.
+LARGE = 32768
+LISTED = 4096
+#: Equal strings in a share, on average, where a collection holds nothing else.
+SHARE = 4096
 
 _BITS = 22  # of a place within a part
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +61,7 @@ class _Powers:
         return cls.made
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the gram that starts at each place of data (at most PART + 4096 bytes)."""
     up, down = _Powers.get()
     n = len(data)
@@ -71,16 +74,11 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The stretches of texts laid end to end: (start, left, n, v) arrays.
-
-    A stretch has the n strings that start at start, start + 1, ...; its anchor is at start + left, and hashes to v.
-    ends: where each text ends.
-    """
-    width = length - GRAM + 1
-    if len(data) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    h = gram_hashes(data)
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the string that starts at each place: where the gram of the smallest hash starts, the first if there are
+    more; and the hashes by place."""
+    width = length - gram + 1
+    h = gram_hashes(data, gram)
     key = (h >> np.uint64(_BITS) << np.uint64(_BITS)) | np.arange(len(h), dtype=np.uint64)
     # minimum over width places: of a block's tail and of the next one's head
     blocks = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -89,19 +87,39 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     head = np.minimum.accumulate(blocks, axis=1).ravel()
     tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(key) - width + 1
-    anchor = (np.minimum(tail[:n], head[width - 1 : width - 1 + n]) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+    return (np.minimum(tail[:n], head[width - 1 : width - 1 + n]) & np.uint64((1 << _BITS) - 1)).astype(np.int64), h
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, length: int, large: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
+    """The stretches of texts laid end to end: (start, left, n, v) arrays.
+
+    A stretch has the n strings that start at start, start + 1, ...; its anchor is at start + left, and names the
+    collection v. ends: where each text ends. large: for each step, the collections whose strings go on to the next.
+    """
+    none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    if len(data) < length:
+        return none
+    n = len(data) - length + 1
     valid = np.ones(n, dtype=bool)  # strings must not cross the end of a text
     for end in ends.tolist():
         valid[max(0, end - length + 1) : end] = False
     at = np.flatnonzero(valid)
     if not len(at):
-        return stretches(data[:0], ends[:0], length)
-    anchor = anchor[at]
+        return none
+    where, h = anchors(data, length, GRAMS[0])
+    anchor = where[at]
+    v = h[anchor]
+    for step, names in enumerate(large, 1):
+        more = np.flatnonzero(np.isin(v, names))
+        if len(more):
+            where, h = anchors(data, length, GRAMS[step] or length)
+            anchor[more] = where[at[more]]
+            v[more] = h[anchor[more]] ^ (np.uint64(step) * _MIX)
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     start = at[first]
-    return start, anchor[first] - start, np.diff(np.append(first, len(at))), h[anchor[first]]
+    return start, anchor[first] - start, np.diff(np.append(first, len(at))), v[first]
 
 
 def _laid_out(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -126,10 +144,10 @@ def _laid_out(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list
         yield done()
 
 
-def text_stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def text_stretches(texts: list[bytes], length: int, large: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, start in the text, left, n, v) arrays of all texts' stretches."""
     for which, offset, data, ends in _laid_out(texts, length):
-        start, left, n, v = stretches(data, ends, length)
+        start, left, n, v = stretches(data, ends, length, large)
         part = np.searchsorted(ends, start, side="right")
         begin = ends - np.diff(np.concatenate([[0], ends]))
         yield np.array(which, np.int64)[part], start - begin[part] + np.array(offset, np.int64)[part], left, n, v
@@ -178,8 +196,8 @@ def repeated_strings(group: np.ndarray, left: np.ndarray, n: np.ndarray, text: l
             rows = order[hit]
             place = x - first[rows]
             ok = (place >= 0) & (place < n[rows])
-            found_row.append(rows[ok])
-            found_at.append(place[ok])
+            found_row.append(rows[ok].astype(np.int32))
+            found_at.append(place[ok].astype(np.int16))
     if not found_row:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_row), np.concatenate(found_at)
@@ -190,6 +208,7 @@ def _spans(rows: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray
     if not len(rows):
         return rows, place, place
     order = np.lexsort((place, rows))
+    rows, place = rows.astype(np.int64), place.astype(np.int64)
     rows, place = rows[order], place[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (place[1:] != place[:-1] + 1)
@@ -236,14 +255,15 @@ def _find(length: int):
     return run
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, large: tuple[np.ndarray, ...]) -> DataFrame:
     """v, th, start, left, n for each stretch of each text; th: the first 16 bytes of its SHA-256."""
+    shared = docs.sparkSession.sparkContext.broadcast(large)  # LISTED names for each step at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t is not None and len(t) >= length]
             th = [hashlib.sha256(t).digest()[:16] for t in texts]
-            for which, start, left, n, v in text_stretches(texts, length):
+            for which, start, left, n, v in text_stretches(texts, length, shared.value):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v.view(np.int64)), pa.array([th[k] for k in which.tolist()], pa.binary()), pa.array(start.astype(np.int64)), pa.array(left.astype(np.int16)), pa.array(n.astype(np.int16))],
                     names=["v", "th", "start", "left", "n"],
@@ -253,7 +273,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(length: int):
-    """Reads texts with their shared stretches; gives the stretches' bytes, large collections' ones in pieces."""
+    """Reads texts with their shared stretches; gives the stretches' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "th", "start", "left", "n", "s"]
@@ -262,20 +282,9 @@ def _cut(length: int):
             rows, size = [], 0
             for th, text, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for p in places:
-                    start, left, n = p["start"], p["left"], p["n"]
-                    if not p["large"]:
-                        rows.append((p["v"], th, start, left, n, text[start : start + n + length - 1]))
-                        size += length
-                    else:
-                        anchor, at = start + left, start
-                        while at < start + n:
-                            lo = anchor + (at - anchor) // PIECE * PIECE
-                            to = min(start + n, lo + PIECE)
-                            shared = text[lo + PIECE - 1 : lo + length]
-                            name = hashlib.sha256(b"%d %d " % (p["v"], lo - anchor) + shared).digest()[:8]
-                            rows.append((int.from_bytes(name, "little", signed=True), th, at, anchor - at, to - at, text[at : to + length - 1]))
-                            size += length
-                            at = to
+                    start, n = p["start"], p["n"]
+                    rows.append((p["v"], th, start, p["left"], n, text[start : start + n + length - 1]))
+                    size += length
                     if size >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows, size = [], 0
@@ -285,6 +294,25 @@ def _cut(length: int):
     return run
 
 
+def shared_stretches(docs: DataFrame, length: int) -> DataFrame:
+    """v, th, start, left, n of the stretches whose collection has another one."""
+    large: tuple[np.ndarray, ...] = ()
+    while True:
+        found = staged(_anchors(docs, length, large).distinct(), "suffix-anchors")
+        counts = staged(found.groupBy("v").count().where("count > 1"), "suffix-collections")
+        if len(large) == len(GRAMS) - 1:
+            break
+        top = counts.where(F.col("count") > LARGE).orderBy(F.desc("count"), "v").limit(LISTED).collect()
+        if not top:
+            break
+        large = (*large, np.array([r["v"] for r in top], dtype=np.int64).view(np.uint64))
+    # what is still large is of equal strings: a share of SHARE of them on average has two
+    shares = F.ceil(F.col("count") / SHARE)
+    share = F.when(F.col("count") > LARGE, F.pmod(F.xxhash64("th", "start"), shares)).otherwise(F.lit(0))
+    name = F.when(share > 0, F.xxhash64("v", share)).otherwise(F.col("v"))
+    return found.join(counts, "v").select(name.alias("v"), "th", "start", "left", "n")
+
+
 def _take_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, list[tuple[int, int]]]:
     """What is left of text, how many bytes went, and the maximal runs that went."""
     runs: list[list[int]] = []
@@ -308,10 +336,8 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     bounded_batches(spark)
     entries = staged(docs.select("id", F.octet_length("bytes").cast("long").alias("n"), F.unhex(F.sha2("bytes", 256)).alias("sha")), "suffix-texts")
     texts = staged(entries.groupBy("sha").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size")), "suffix-distinct")
-    found = staged(_anchors(docs, length).distinct(), "suffix-anchors")
-    shared = found.groupBy("v").count().where("count > 1")
-    shared = found.join(shared, "v").withColumn("large", F.col("count") > LARGE)
-    places = shared.groupBy("th").agg(F.collect_list(F.struct("v", "start", "left", "n", "large")).alias("places"))
+    shared = shared_stretches(docs, length)
+    places = shared.groupBy("th").agg(F.collect_list(F.struct("v", "start", "left", "n")).alias("places"))
     owners = texts.select(F.substring("sha", 1, 16).alias("th"), F.col("first").alias("owner"))
     places = staged(places.join(owners, "th"), "suffix-places").withColumnsRenamed({"th": "t"})
     named = docs.select("id", "bytes", F.substring(F.unhex(F.sha2("bytes", 256)), 1, 16).alias("th"))
@@ -332,7 +358,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included, lose all if they are as long as that. Strings are compared within and across texts, never across a border
     between texts, and are judged on the input. An empty table gives an empty result; other columns are not read.
     """
-    assert length >= 2 * GRAM and length + PIECE < 4096, "length is out of range"
+    assert GRAMS[-2] < length < 4096, "length is out of range"
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("bytes"))
     entries, lost = repeated_spans(rows, length)
 
