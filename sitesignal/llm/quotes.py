@@ -91,7 +91,7 @@ def _latest_before(asked: DataFrame, there: DataFrame, keys: list[str]) -> DataF
 
 
 def link_replies(messages: DataFrame) -> DataFrame:
-    """conv, turn, parent, linked for each (conv, turn) of staged messages (conv, turn, key, lines, own)."""
+    """conv, turn, prev, parent, linked for each (conv, turn) of staged messages (conv, turn, key, lines, own)."""
     turns = staged(messages.select("conv", "turn").distinct(), "turns")
     quotes = staged(_pieces(_quoted(messages), "passage").groupBy("conv", "turn", "level", "piece").agg(F.max("weight").alias("weight")), "quotes")
     known = quotes.select("conv", "piece").distinct()
@@ -104,20 +104,41 @@ def link_replies(messages: DataFrame) -> DataFrame:
     voted = votes.groupBy("conv", "turn").agg(best.alias("voted"))
     before = _latest_before(turns, turns, ["conv"])
     out = before.join(voted, ["conv", "turn"], "left")
-    return out.select("conv", "turn", F.coalesce("voted", "found").alias("parent"), F.col("voted").isNotNull().alias("linked"))
+    return out.select("conv", "turn", F.col("found").alias("prev"), F.coalesce("voted", "found").alias("parent"), F.col("voted").isNotNull().alias("linked"))
+
+
+def _latest_up_to(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with name: the largest non-null value in the rows of keys up to their own turn, stretch by stretch."""
+    rows = rows.withColumn("stretch", F.floor(F.col("turn") / STRETCH).cast("long"))
+    ends = rows.groupBy(*keys, "stretch").agg(F.max(value).alias("end"))
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "stretch", F.max("end").over(earlier).alias("far"))
+    near = F.max(value).over(Window.partitionBy(*keys, "stretch").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("near", near).join(ends, [*keys, "stretch"])
+    return out.withColumn(name, F.greatest("near", "far")).drop("near", "far", "stretch")
 
 
 def _branches(replies: DataFrame) -> DataFrame:
-    """replies with branch: the turn that opened the branch. Pointers double in length in each round."""
+    """replies with branch: the turn that opened the branch.
+
+    Turns that each go on from the turn before are one run; only runs that go on from an older turn are followed, by
+    pointers that double in length in each round.
+    """
     first = replies.where(F.col("parent").isNotNull()).groupBy("conv", "parent").agg(F.min("turn").alias("first"))
-    at = replies.join(first, ["conv", "parent"], "left")
-    at = staged(at.select("conv", "turn", F.when(F.col("turn") == F.col("first"), F.col("parent")).otherwise(F.col("turn")).alias("to")), "branch")
+    rows = replies.join(first, ["conv", "parent"], "left").withColumn("goes_on", F.coalesce(F.col("turn") == F.col("first"), F.lit(False)))
+    opens = F.when(~F.col("goes_on") | (F.col("parent") != F.col("prev")), F.col("turn"))
+    rows = staged(_latest_up_to(rows.withColumn("opens", opens), ["conv"], "opens", "run"), "runs")
+    back = rows.where((F.col("opens") == F.col("turn")) & F.col("goes_on")).select("conv", F.col("turn").alias("from"), F.col("parent").alias("turn"))
+    back = staged(back.join(rows.select("conv", "turn", "run"), ["conv", "turn"]).select("conv", "from", F.col("run").alias("to")), "back")
     while True:
-        hop = at.select("conv", F.col("turn").alias("to"), F.col("to").alias("beyond"))
-        moved = staged(at.join(hop, ["conv", "to"]).select("conv", "turn", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), "branch")
+        hop = back.select("conv", F.col("from").alias("to"), F.col("to").alias("beyond"))
+        moved = staged(back.join(hop, ["conv", "to"], "left").select("conv", "from", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "back")
+        back = moved.drop("moved")
         if not moved.where("moved").limit(1).count():
-            return replies.join(moved.select("conv", "turn", F.col("to").alias("branch")), ["conv", "turn"])
-        at = moved.drop("moved")
+            break
+    heads = back.select("conv", F.col("from").alias("run"), F.col("to").alias("branch"))
+    rows = rows.join(heads, ["conv", "run"], "left").withColumn("branch", F.coalesce("branch", "run"))
+    return rows.select("conv", "turn", "parent", "linked", "branch")
 
 
 def _positions(rows: DataFrame) -> DataFrame:
