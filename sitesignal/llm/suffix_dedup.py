@@ -13,9 +13,11 @@ differ). A string occurs again exactly if its suffix shares `length` symbols wit
 The collections come to a task as sorted files, one after the other; as many as fit CHUNK are indexed together with
 whole-array steps, so memory is bounded by CHUNK and the largest collection.
 
-A common line makes a large collection. Where one has over LARGE stretches, its strings get another anchor, a longer
-gram, which the line alone can't fill; equal strings still share it. The grams of the last step are whole strings: such
-a collection is of equal strings, and any share of it says so. Texts that are equal as a whole are handled once.
+Stretches that are equal as a whole (a passage that many texts share has many of those) are one entry of their
+collection; they occur again by that alone, and only one of them is indexed. A common line makes a large collection of
+entries that differ around it. Where one has over LARGE entries, its strings get another anchor, a longer gram, which
+the line alone can't fill; equal strings still share it. The grams of the last step are whole strings, so that a
+collection has one entry only. Texts that are equal as a whole are handled once.
 """
 
 from __future__ import annotations
@@ -39,8 +41,6 @@ CHUNK = 8 << 20
 #: Stretches from which a collection's strings get a longer anchor; of so many collections at a time, the largest.
 LARGE = 32768
 LISTED = 4096
-#: Equal strings in a share, on average, where a collection holds nothing else.
-SHARE = 4096
 
 _BITS = 22  # of a place within a part
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +114,7 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int, large: tuple[np.n
         if len(more):
             where, h = anchors(data, length, GRAMS[step] or length)
             anchor[more] = where[at[more]]
-            v[more] = h[anchor[more]] ^ (np.uint64(step) * _MIX)
+            v[more] = h[anchor[more]] ^ np.uint64(step * int(_MIX) % (1 << 64))
     new = np.ones(len(at), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -233,7 +233,9 @@ def _find(length: int):
             if not rows:
                 return None
             left, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (3, 4))
-            hit, place = repeated_strings(number[many], left, n, [r[5] for r in rows], length)
+            hit, place = repeated_strings(number[many], left, n, [r[6] for r in rows], length)
+            alone = np.array([r[5] for r in rows])[hit]  # the others are known to occur again
+            hit, place = hit[alone], place[alone]
             k, lo, hi = _spans(hit, place, length)
             if not len(k):
                 return None
@@ -256,34 +258,42 @@ def _find(length: int):
 
 
 def _anchors(docs: DataFrame, length: int, large: tuple[np.ndarray, ...]) -> DataFrame:
-    """v, th, start, left, n for each stretch of each text; th: the first 16 bytes of its SHA-256."""
+    """v, th, start, left, n, b for each stretch of each text; th: the first 16 bytes of its SHA-256; b: a hash of all
+    bytes of the stretch."""
     shared = docs.sparkSession.sparkContext.broadcast(large)  # LISTED names for each step at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t is not None and len(t) >= length]
             th = [hashlib.sha256(t).digest()[:16] for t in texts]
             for which, start, left, n, v in text_stretches(texts, length, shared.value):
+                ends = start + n + length - 1
+                whole = [xxh64_intdigest(texts[k][lo:hi]) for k, lo, hi in zip(which.tolist(), start.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.view(np.int64)), pa.array([th[k] for k in which.tolist()], pa.binary()), pa.array(start.astype(np.int64)), pa.array(left.astype(np.int16)), pa.array(n.astype(np.int16))],
-                    names=["v", "th", "start", "left", "n"],
+                    [
+                        pa.array(v.view(np.int64)), pa.array([th[k] for k in which.tolist()], pa.binary()), pa.array(start.astype(np.int64)),
+                        pa.array(left.astype(np.int16)), pa.array(n.astype(np.int16)), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)),
+                    ],
+                    names=["v", "th", "start", "left", "n", "b"],
                 )
 
-    return docs.select("bytes").mapInArrow(run, "v long, th binary, start long, left short, n short")
+    return docs.select("bytes").mapInArrow(run, "v long, th binary, start long, left short, n short, b long")
 
 
 def _cut(length: int):
     """Reads texts with their shared stretches; gives the stretches' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["v", "th", "start", "left", "n", "s"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int16(), pa.int16(), pa.binary()]
+        names = ["v", "th", "start", "left", "n", "alone", "s"]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int16(), pa.int16(), pa.bool_(), pa.binary()]
         for batch in batches:
             rows, size = [], 0
             for th, text, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for p in places:
                     start, n = p["start"], p["n"]
-                    rows.append((p["v"], th, start, p["left"], n, text[start : start + n + length - 1]))
+                    rows.append((p["v"], th, start, p["left"], n, p["alone"], text[start : start + n + length - 1]))
                     size += length
                     if size >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -294,23 +304,21 @@ def _cut(length: int):
     return run
 
 
-def shared_stretches(docs: DataFrame, length: int) -> DataFrame:
-    """v, th, start, left, n of the stretches whose collection has another one."""
+ENTRY = ["v", "left", "n", "b"]
+
+
+def collections(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: all stretches, and their entries: ENTRY, rep (th and start of one), size, and others in the collection."""
     large: tuple[np.ndarray, ...] = ()
     while True:
         found = staged(_anchors(docs, length, large).distinct(), "suffix-anchors")
-        counts = staged(found.groupBy("v").count().where("count > 1"), "suffix-collections")
-        if len(large) == len(GRAMS) - 1:
-            break
-        top = counts.where(F.col("count") > LARGE).orderBy(F.desc("count"), "v").limit(LISTED).collect()
+        entries = found.groupBy(*ENTRY).agg(F.min(F.struct("th", "start")).alias("rep"), F.count(F.lit(1)).alias("size"))
+        entries = staged(entries, "suffix-entries")
+        counts = staged(entries.groupBy("v").count().where("count > 1"), "suffix-collections")
+        top = counts.where(F.col("count") > LARGE).orderBy(F.desc("count"), "v").limit(LISTED).collect() if len(large) < len(GRAMS) - 1 else []
         if not top:
-            break
+            return found, entries.join(counts, "v", "left").withColumn("others", F.coalesce("count", F.lit(1)) - 1).drop("count")
         large = (*large, np.array([r["v"] for r in top], dtype=np.int64).view(np.uint64))
-    # what is still large is of equal strings: a share of SHARE of them on average has two
-    shares = F.ceil(F.col("count") / SHARE)
-    share = F.when(F.col("count") > LARGE, F.pmod(F.xxhash64("th", "start"), shares)).otherwise(F.lit(0))
-    name = F.when(share > 0, F.xxhash64("v", share)).otherwise(F.col("v"))
-    return found.join(counts, "v").select(name.alias("v"), "th", "start", "left", "n")
 
 
 def _take_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -334,20 +342,30 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     that lose bytes, once each (th, text, spans)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    entries = staged(docs.select("id", F.octet_length("bytes").cast("long").alias("n"), F.unhex(F.sha2("bytes", 256)).alias("sha")), "suffix-texts")
-    texts = staged(entries.groupBy("sha").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size")), "suffix-distinct")
-    shared = shared_stretches(docs, length)
-    places = shared.groupBy("th").agg(F.collect_list(F.struct("v", "start", "left", "n")).alias("places"))
-    owners = texts.select(F.substring("sha", 1, 16).alias("th"), F.col("first").alias("owner"))
-    places = staged(places.join(owners, "th"), "suffix-places").withColumnsRenamed({"th": "t"})
+    rows = staged(docs.select("id", F.octet_length("bytes").cast("long").alias("n"), F.unhex(F.sha2("bytes", 256)).alias("sha")), "suffix-texts")
+    texts = staged(rows.groupBy("sha").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("size")), "suffix-distinct")
+    found, entries = collections(docs, length)
+    entries = staged(entries.where("size > 1 OR others > 0"), "suffix-repeated")
+    # what is known by the entries alone, and what has to be indexed
+    equal = join_hot(found, entries.where("size > 1").select(*ENTRY, "size"), ENTRY, "size")
+    span = F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
+    equal = equal.groupBy("th").agg(F.collect_list(span).alias("equal"))
+    at = F.struct("v", F.col("rep.start").alias("start"), "left", "n", (F.col("size") == 1).alias("alone"))
+    places = entries.where("others > 0").groupBy(F.col("rep.th").alias("th")).agg(F.collect_list(at).alias("places"))
+    owners = texts.select(F.substring("sha", 1, 16).alias("th"), "owner")
+    asked = staged(places.join(equal, "th", "full").join(owners, "th").withColumnRenamed("th", "t"), "suffix-asked")
     named = docs.select("id", "bytes", F.substring(F.unhex(F.sha2("bytes", 256)), 1, 16).alias("th"))
-    texts_at = named.join(places.hint("shuffle_hash"), (named["th"] == places["t"]) & named["id"].eqNullSafe(places["owner"]))
-    texts_at = staged(texts_at.select("th", "bytes", "places"), "suffix-shared")
-    cut = texts_at.mapInArrow(_cut(length), "v long, th binary, start long, left short, n short, s binary")
+    asked_of = named.join(asked.hint("shuffle_hash"), (named["th"] == asked["t"]) & named["id"].eqNullSafe(asked["owner"]))
+    asked_of = staged(asked_of.select("th", "bytes", "places", "equal"), "suffix-shared")
+    cut = asked_of.where("places IS NOT NULL").select("th", "bytes", "places")
+    cut = cut.mapInArrow(_cut(length), "v long, th binary, start long, left short, n short, alone boolean, s binary")
     spans = cut.repartition("v").sortWithinPartitions("v").mapInArrow(_find(length), "th binary, lo long, hi long")
-    spans = staged(spans.groupBy("th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    lost = texts_at.select("th", "bytes").dropDuplicates(["th"]).join(spans, "th")
-    return join_hot(entries, texts.select("sha", "size"), ["sha"], "size"), lost
+    spans = spans.groupBy("th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    lost = asked_of.select("th", "bytes", "equal").dropDuplicates(["th"]).join(spans, "th", "left")
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    both = F.concat(F.coalesce("equal", none), F.coalesce("spans", none))
+    lost = lost.select("th", "bytes", both.alias("spans")).where(F.size("spans") > 0)
+    return join_hot(rows, texts.select("sha", "size"), ["sha"], "size"), lost
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
