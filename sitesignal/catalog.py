@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sitesignal.plans import queries_core, queries_panels, queries_sources
+
+QUERIES = queries_core.QUERIES | queries_panels.QUERIES | queries_sources.QUERIES
+ORACLES = queries_core.ORACLES | queries_panels.ORACLES | queries_sources.ORACLES
