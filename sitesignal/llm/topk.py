@@ -92,7 +92,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(queries: dict, block: dict, turn: np.ndarray, k: int) -> tuple[list, list, list]:
-    """(query row, id, score) of what a block offers to queries: dicts of row, id, norm, v, floor (threshold)."""
+    """(query row, id, score) of what a block offers to queries: dicts of row, id, norm, v, floor and floor_id (threshold)."""
     out_q, out_id, out_s = [], [], []
     order = np.argsort(-block["norm"], kind="stable")
     c, ids, norm = block["v"][order], block["id"][order], block["norm"][order]
@@ -123,7 +123,9 @@ def _search(queries: dict, block: dict, turn: np.ndarray, k: int) -> tuple[list,
             scores = queries["v"][part].astype(object) @ c[some].astype(object).T
             limit = (1 << 63) - 1
             scores = np.vectorize(lambda s: max(-limit, min(limit, int(s))), otypes=[object])(scores) if scores.size else scores
-        alive = alive[:, some] & (scores >= floor[:, None])
+        # the threshold is a place in the ranking: of equal scores only smaller identifiers come before it
+        tied = (scores == floor[:, None]) & (ids[some] <= queries["floor_id"][part][:, None])
+        alive = alive[:, some] & ((scores > floor[:, None]) | tied)
         for r in np.flatnonzero(alive.any(axis=1)):
             at = np.flatnonzero(alive[r])
             if len(at) > k:
@@ -139,8 +141,7 @@ def _side(t: pa.Table, dims: int) -> dict:
     """The arrays of a cell's queries or vectors."""
     t = t.combine_chunks()
     v = _unpack(t.column("v").combine_chunks() if t.num_rows else pa.array([], pa.binary()), dims)
-    out = {n: t.column(n).to_numpy() for n in ("row", "id", "norm")}
-    return out | {"v": v, "floor": t.column("floor").to_numpy()}
+    return {n: t.column(n).to_numpy() for n in ("row", "id", "norm", "floor", "floor_id")} | {"v": v}
 
 
 def top_k(
@@ -184,16 +185,17 @@ def top_k(
             "v": _unpack(pa.array([bytes(r[2]) for r in rows], pa.binary()), dims),
         }
         for batch in batches:
-            side = {"row": np.arange(batch.num_rows), "id": batch.column(0).to_numpy(), "norm": batch.column(1).to_numpy(), "v": _unpack(batch.column(2), dims), "floor": np.full(batch.num_rows, -np.inf)}
-            q, _, s = _search(side, block, turned.value, k)
-            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for i, x in zip(q, s, strict=True):
-                found[i].append(x)
-            floor = [float(min(x)) if len(x) == k else -np.inf for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.float64())], names=["id", "norm", "v", "row", "floor"])
+            side = {"row": np.arange(batch.num_rows), "id": batch.column(0).to_numpy(), "norm": batch.column(1).to_numpy(), "v": _unpack(batch.column(2), dims), "floor": np.full(batch.num_rows, -np.inf), "floor_id": batch.column(0).to_numpy()}
+            q, i, s = _search(side, block, turned.value, k)
+            found: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+            for row, c, x in zip(q, i, s, strict=True):
+                found[row].append((x, -c))
+            last = [min(x) if len(x) == k else (-np.inf, 0) for x in found]
+            floors = [pa.array([float(x) for x, _ in last], pa.float64()), pa.array([-c for _, c in last], batch.schema.field("id").type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *floors], names=["id", "norm", "v", "row", "floor", "floor_id"])
 
     bounded_batches(spark)
-    schema = f"id {id_type}, norm double, v binary, row long, floor double"
+    schema = f"id {id_type}, norm double, v binary, row long, floor double, floor_id {id_type}"
     queries = staged(queries.select("id", "norm", "v", "row").mapInArrow(start, schema), "topk-queries")
 
     # a query of length n visits the blocks whose longest vector is floor / n at least; the blocks come by length
@@ -204,8 +206,8 @@ def top_k(
     spread = queries.withColumn("reach", reach).withColumn("visit", F.explode(visited))
     groups = max(1, -(-queries.count() // QUERIES))
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
-    asked = spread.select(F.col("visit.b").alias("block"), group.alias("cell"), F.lit(1).alias("side"), "row", "id", "norm", "v", "floor")
-    offered = by_length.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("row"), "id", "norm", "v", F.lit(0.0).alias("floor"))
+    asked = spread.select(F.col("visit.b").alias("block"), group.alias("cell"), F.lit(1).alias("side"), "row", "id", "norm", "v", "floor", "floor_id")
+    offered = by_length.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("row"), "id", "norm", "v", F.lit(0.0).alias("floor"), F.col("id").alias("floor_id"))
 
     def cell(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
