@@ -84,6 +84,11 @@ class Store:
             raise OSError(f"could not publish {name} {version}")
         return self.read(name)
 
+    def drop(self, name: str) -> None:
+        """Forgets a table; its versions stay in the folder."""
+        fs, current = self._fs(f"{self.root}/{name}/_current")
+        fs.delete(current, False)
+
     def views(self, names: dict[str, str]) -> None:
         """Temp views by name for the tables that exist."""
         for view, name in names.items():

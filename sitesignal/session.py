@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the star-schema tables; Parquet pushdown and pruning stay with the reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='sitesignal-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/sitesignal/{tag}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ def weekly(events: DataFrame, *keys: str, ts: str = "ts", late: str = LATE) -> D
     Windows are counted from a Thursday (the epoch's day), hence the offset of four days.
     """
     week = F.window(ts, "7 days", "7 days", "4 days")
-    counted = events.withWatermark(ts, late).groupBy(week.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(week.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").cast("date").alias("week"), *keys, "n")
 
 
