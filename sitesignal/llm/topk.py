@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over norm-sorted vectors.
 
-Vectors are sorted by descending length and cut into blocks. The longest block answers every query first, which gives
+Vectors are sorted by descending length and cut into blocks. The longest vectors answer every query first, which gives
 each query a threshold: its k-th best score so far. By Cauchy-Schwarz a block whose longest vector is too short for a
 query can't reach the threshold, so the query visits a prefix of the blocks only. Within a block, vectors and queries
 are rotated by the right singular vectors of the whole table (from its Gram matrix), which puts most of a product into
@@ -25,6 +25,8 @@ from sitesignal.llm.common import bounded_batches, staged
 #: Vectors in a block, at least; more where there would be over BLOCKS blocks, since the blocks' lengths are broadcast.
 BLOCK = 2048
 BLOCKS = 65536
+#: Vectors that answer every query first: the longest ones. They are broadcast.
+FIRST = 8192
 #: Queries in a cell.
 QUERIES = 2048
 #: Rotated coordinates of the partial sums.
@@ -159,8 +161,8 @@ def top_k(
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     packed = staged(quantised(vectors, id_col, vec_col, scale), "topk-vectors")
-    total, longest = packed.agg(F.count(F.lit(1)), F.max(F.octet_length("v"))).first()
-    dims = (longest or 0) // 8
+    total, widest = packed.agg(F.count(F.lit(1)), F.max(F.octet_length("v"))).first()
+    dims = (widest or 0) // 8
     block_size = max(BLOCK, -(-total // BLOCKS))
     turn = rotation(packed, dims) if dims else np.zeros((0, 0))
 
@@ -172,9 +174,8 @@ def top_k(
 
     queries = packed.where(is_query(F.col("id"))).dropDuplicates(["id"])
     queries = queries.withColumn("row", F.monotonically_increasing_id())
-    first = lengths[0][0] if lengths else 0
-    longest_block = by_length.where(F.col("block") == first).select("id", "norm", "v").limit(4 * block_size)
-    head = spark.sparkContext.broadcast([tuple(r) for r in longest_block.collect()])  # 4 blocks of vectors at most
+    longest = by_length.select("id", "norm", "v").orderBy(F.desc("norm"), "id").limit(FIRST)
+    head = spark.sparkContext.broadcast([tuple(r) for r in longest.collect()])  # FIRST vectors at most
     turned = spark.sparkContext.broadcast(turn)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
