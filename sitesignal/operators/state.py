@@ -62,10 +62,10 @@ class Store:
 
     def version(self, name: str) -> str | None:
         """The path of a table's current version."""
-        fs, p = self._fs(f"{self.root}/{name}/_current")
+        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
             return None
-        return f"{self.root}/{name}/{self.spark.read.text(f'{self.root}/{name}/_current').first()[0]}"
+        return f"{self.root}/{name}/{self.spark.read.text(f'{self.root}/{name}/CURRENT').first()[0]}"
 
     def read(self, name: str) -> DataFrame | None:
         path = self.version(name)
@@ -74,11 +74,11 @@ class Store:
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         version = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._fs(f"{self.root}/{name}/_next")
+        fs, p = self._fs(f"{self.root}/{name}/NEXT")
         out = fs.create(p, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, current = self._fs(f"{self.root}/{name}/_current")
+        _, current = self._fs(f"{self.root}/{name}/CURRENT")
         fs.delete(current, False)
         if not fs.rename(p, current):
             raise OSError(f"could not publish {name} {version}")
@@ -86,7 +86,7 @@ class Store:
 
     def drop(self, name: str) -> None:
         """Forgets a table; its versions stay in the folder."""
-        fs, current = self._fs(f"{self.root}/{name}/_current")
+        fs, current = self._fs(f"{self.root}/{name}/CURRENT")
         fs.delete(current, False)
 
     def views(self, names: dict[str, str]) -> None:
