@@ -26,7 +26,7 @@ from sitesignal.llm.components import components
 #: Nodes in one BK-tree.
 SHARD = 4096
 #: Pairs (query, node) looked at together.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -186,7 +186,7 @@ def _links(cell: np.ndarray, own: np.ndarray, value: np.ndarray, radius: int, re
             node = tree[node]
             distance = np.bitwise_count(value[q] ^ value[node]).astype(np.int64)
             links = np.concatenate([links, np.stack([q, node, distance])[:, q != node]], axis=1)
-            if links.shape[1] > 4 * FRONTIER:
+            if links.shape[1] > 2 * FRONTIER:
                 links = links[:, _shortest(n, *links)]
         links = links[:, _shortest(n, *links)]
         return value[links[0]], value[links[1]]
