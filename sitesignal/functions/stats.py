@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantile_nearest(c: Column, q: float) -> Column:
-    """The value at rank round((n - 1) q), from 0, halves away from zero."""
-    rank = F.floor((F.count(c) - 1) * F.lit(q) + 0.5).cast("int")
-    return F.get(F.array_sort(F.collect_list(c)), rank)
+def nearest_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n and for each name the value at rank round((n - 1) share), from 0, halves away from zero; nulls don't count.
+
+    Values are counted first, so what is ordered for a key is its distinct values, not its rows.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("__c").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(whole)})
+    rank = lambda q: F.floor((F.col("__n") - 1) * F.lit(q) + 0.5)
+    at = [F.min(F.when(F.col("__upto") > rank(q), F.col(value))).alias(name) for name, q in shares.items()]
+    return counts.groupBy(*keys).agg(F.sum("__c").alias("n"), *at)
 
 
 def date_quantile_lower(column: str, parts: int) -> Column:

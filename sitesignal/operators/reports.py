@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions.dates import half_label, period_start
-from sitesignal.functions.stats import quantile_nearest, share
+from sitesignal.functions.stats import nearest_quantiles, share
+from sitesignal.operators.rules import join_null_safe
 
 BUILD_KINDS = ("modification", "new_build", "unknown")
 
@@ -24,11 +25,12 @@ def entity_year(cases: DataFrame, kinds: Sequence[str] = BUILD_KINDS, listed_onl
 
 def lag_summary(cases: DataFrame, by: str | None = "entity", least: int = 5, days: str = "filing_to_construction_days") -> DataFrame:
     """Count, median and quartiles of a lag; groups of fewer than `least` are left out."""
-    d = cases.where(F.col(days).isNotNull())
-    aggregates = [F.count(F.lit(1)).alias("n"), F.median(days).alias("median_days"), quantile_nearest(F.col(days), 0.25).alias("p25_days"), quantile_nearest(F.col(days), 0.75).alias("p75_days")]
-    if by is None:
-        return d.agg(*aggregates)
-    return d.groupBy(by).agg(*aggregates).where(F.col("n") >= least)
+    keys = [by] if by else ["__all"]
+    d = cases.where(F.col(days).isNotNull()).withColumn("__all", F.lit(1))
+    quartiles = nearest_quantiles(d, keys, days, {"p25_days": 0.25, "p75_days": 0.75})
+    median = d.groupBy(*keys).agg(F.median(days).alias("median_days"))
+    out = join_null_safe(quartiles, median, keys, "inner").select(*keys, "n", "median_days", "p25_days", "p75_days")
+    return out.where(F.col("n") >= least) if by else out.drop("__all")
 
 
 def monthly_grid(cases: DataFrame, entities: Sequence[str], kinds: Sequence[str] = BUILD_KINDS) -> DataFrame:

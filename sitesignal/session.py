@@ -49,3 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/sitesignal/{tag}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs no recompute."""
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

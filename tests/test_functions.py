@@ -74,7 +74,8 @@ def test_quantiles(spark):
     for n in (1, 2, 5, 10, 11, 24):
         values = [random.randrange(1000) for _ in range(n)]
         df = spark.createDataFrame([(v, dt.date(2000, 1, 1) + dt.timedelta(v)) for v in values], "v int, d date")
-        near, low = df.agg(stats.quantile_nearest(F.col("v"), 0.75), stats.date_quantile_lower("d", 10)).first()
+        near = stats.nearest_quantiles(df.withColumn("k", F.lit(1)), ["k"], "v", {"q": 0.75}).first().q
+        low = df.agg(stats.date_quantile_lower("d", 10)).first()[0]
         assert near == sorted(values)[int((n - 1) * 0.75 + 0.5)]
         assert low == dt.date(2000, 1, 1) + dt.timedelta(sorted(values)[(n - 1) // 10])
 
