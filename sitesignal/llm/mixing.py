@@ -25,7 +25,7 @@ from sitesignal.llm.common import bounded_batches, row_key, staged
 #: Documents in a group of a flight, on average.
 GROUP = 256
 #: Documents of a group that sit out all flights but the last, so that the landing has documents of all lengths.
-RESERVE = 16
+RESERVE = 32
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 20_000
 
