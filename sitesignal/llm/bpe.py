@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from sitesignal.llm.common import bounded_batches
 
 #: Pre-tokens whose ids a worker remembers; when the memory is full it starts anew, which costs time only.
-CACHE = 150_000
+CACHE = 200_000
 #: Pairs of tokens whose compatibility it remembers.
-PAIRS = 300_000
+PAIRS = 600_000
 
 #: The byte-level pre-tokenizer's pattern, as the public vocabulary's description gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

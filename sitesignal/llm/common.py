@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesignal.session import scratch
+from sitesignal.session import staged
+
+__all__ = ["ASCII_UPPER", "HOT_KEYS", "ascii_lower", "bounded_batches", "join_hot", "row_key", "staged"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -13,14 +15,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOT_KEYS = 1024
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs no recompute."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())
