@@ -45,8 +45,9 @@ UNWANTED = frozenset(
     "widget widgets pagination pager login search searchbox copyright legal disclaimer skip hidden complementary contentinfo "
     "adsbygoogle outbrain taboola paywall".split()
 )
-#: Words that keep an element in spite of the above (article-header, post-content-with-sidebar).
-WANTED = frozenset("article content entry main post story text body".split())
+#: Words beside which a header is the article's own, and those that only tell what is beside the element.
+OWN = frozenset("article content entry post story".split())
+BESIDE = frozenset("with has no without".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 TAG = re.compile(
@@ -84,7 +85,7 @@ def _set_aside(tag: str, attributes: str, within_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    words: set[str] = set()
+    names: list[set[str]] = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -93,10 +94,18 @@ def _set_aside(tag: str, attributes: str, within_article: bool) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         elif name in ("class", "id", "role"):
-            words.update(w.lower() for w in WORDS.findall(value))
+            names += [{w.lower() for w in WORDS.findall(one)} for one in value.split()]
+    return any(_unwanted(words, tag) for words in names)
+
+
+def _unwanted(words: set[str], tag: str) -> bool:
+    """Whether one class, id or role, taken apart into words, names what is not the article."""
     if words & READERS:
         return True
-    return bool(words & UNWANTED) and not words & WANTED and tag not in ("main", "article")
+    found = words & UNWANTED
+    if not found or words & BESIDE or tag in ("main", "article"):
+        return False
+    return not (found == {"header"} and words & OWN)
 
 
 #: What an opening tag closes when it is still open (up to the nearest of the second group).

@@ -31,6 +31,12 @@ def test_odd_pages():
     assert main_text("<p " + "\"" * 3 + ">x, y.</p>") in ("x, y.", "")
 
 
+@pytest.mark.parametrize("name, stays", [("sidebar-content", False), ("content has-sidebar", True), ("article-header", True), ("page-header", False), ("sponsored-content", False), ("post-navigation", False), ("cookieBanner", False), ("ad-slot", False), ("readable", True), ("commentList", False)])
+def test_names_that_say_what_an_element_is(name, stays):
+    page = f'<div id="x"><p>A paragraph, of some length, that is the article.</p><div class="{name}"><p>Something else, of some length.</p></div></div>'
+    assert ("Something else" in main_text(page)) is stays
+
+
 def test_op7_gives_the_articles(spark, sf):
     import html
     import re
