@@ -19,6 +19,9 @@ BUILT_DAYS = 30
 SIGNALS = ("bk_asr", "bk_faa_built", "bk_keyword", "bk_prior_case", "bk_asr_number")
 EVIDENCE = ("asr_registered", "asr_constructed", "faa_built", "keyword", "prior_case")
 
+INPUT = ("asn", "category", "date_entered", "date_built", "structure_description", "fcc_asr_number", "latitude", "longitude")
+MATCH_INPUT = ("asn", "match_method", "asr_registration_date", "asr_date_constructed")
+
 
 def _of(cases: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     return cases.where(F.col("category").isin(*categories))
@@ -35,6 +38,7 @@ def signals(cases: DataFrame, matches: DataFrame) -> DataFrame:
     cases: asn, category, date_entered, date_built, structure_description, fcc_asr_number, latitude, longitude.
     matches: asn, match_method, asr_registration_date, asr_date_constructed.
     """
+    cases, matches = cases.select(*INPUT), matches.select(*MATCH_INPUT)
     prior = prior_cases(_of(cases, CATEGORIES), _of(cases, PRIOR_CATEGORIES))
     d = _of(cases, CATEGORIES).join(matches, "asn", "left").join(prior, "asn", "left")
     existing, new = F.lit("existing"), F.lit("new")

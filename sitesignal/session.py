@@ -46,9 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sitesignal/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/sitesignal/{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_own(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what the application has staged. Results that are still lazy read it: write them first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

@@ -84,3 +84,16 @@ def test_safe_corr(spark):
     df = spark.createDataFrame([("flat", 1.0, float(i)) for i in range(5)] + [("line", float(i), 2.0 * i) for i in range(5)] + [("few", 1.0, 2.0), ("few", 2.0, 3.0)], "k string, x double, y double")
     got = {r[0]: r[1] for r in df.groupBy("k").agg(stats.safe_corr(F.col("x"), F.col("y"))).collect()}
     assert got["flat"] is None and got["few"] is None and abs(got["line"] - 1) < 1e-12
+
+
+def test_staged_tables_are_released(spark):
+    from pathlib import Path
+
+    from sitesignal import session
+
+    df = session.staged(spark.range(3), "release")
+    assert df.count() == 3
+    place = Path(session.scratch(spark, "x").removeprefix("file://")).parent
+    assert list(place.iterdir())
+    session.release(spark)
+    assert not place.exists()
