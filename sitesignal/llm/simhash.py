@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ from sitesignal.llm.components import components
 SHARD = 4096
 #: Pairs (query, node) looked at together.
 FRONTIER = 1 << 18
+#: Common shingles that come last in the order of shingles.
+LATE = 4096
+#: Parity bits of a text's shingles.
+BITS = 2048
+#: Rows of cells taken together, and pairs given out together.
+CELLS = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -274,45 +281,141 @@ def near_dedup(
     )
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
-    radius: int = 5, blocks: int = 7, seeds: tuple[int, ...] = (42, 7),
-) -> DataFrame:
-    """key, id, first for each distinct row (id, text) of docs: first is the key of its group's smallest id.
+def _sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's `words`-word shingles; empty if it has no words."""
+    from xxhash import xxh64_intdigest
 
-    Texts are alike if the sets of their `words`-word shingles have a Jaccard similarity of `similarity` or more; groups
-    are what chains of alike texts connect. Candidates come from two SimHashes of the distinct words, linked through
-    BK-trees as in near_dedup; each candidate link is checked on the whole texts. key is made of id and text, so
-    identifiers that repeat with other texts don't mix; null ids and texts count as empty.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
-    prints = fingerprints(rows.withColumn("both", F.struct("key", "id")), "both", "text", 0, seeds)
-    prints = staged(prints.select("id.*", *prints.columns[1:]).distinct(), "prints")
-    links = None
-    for name in prints.columns[2:]:
-        nodes = staged(prints.groupBy(F.col(name).alias("fp")).agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")), "nodes")
-        same = join_hot(prints.select("key", F.col(name).alias("fp")), nodes, ["fp"], "size").where("key <> rep")
-        same = same.select(F.col("key").alias("a"), F.col("rep").alias("b"))
-        ends = [nodes.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}2")) for c in "ab"]
-        near = near_links(nodes.select("fp"), radius, blocks, real=True).distinct()
-        near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        found = same.unionByName(near)
-        links = found if links is None else links.unionByName(found)
-    links = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    asked = links.select(F.col("a").alias("wanted")).unionByName(links.select(F.col("b").alias("wanted"))).distinct()
-    wanted = rows.join(asked.hint("shuffle_hash"), rows["key"] == asked["wanted"]).select("key", "text")
+    for t in texts:
+        parts = t.encode("utf-8").lower().split()
+        yield np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles(parts, words)] if parts else [], dtype=np.uint64))
+
+
+def _prefix(hashes: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes, those in late after all others: two sets of the similarity or more share one of these.
+
+    They share similarity * n of either's n hashes at least, so not all of them come after the prefix. An empty set has
+    the hash 0, by which it meets other empty sets.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    least = int(np.ceil(similarity * n - 1e-9))
+    if len(late):
+        last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: n - least + 1]
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """BITS bits: whether an odd number of hashes falls on each. Two sets differ in as many hashes as bits at least."""
+    return np.packbits(np.bincount((hashes % BITS).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _differ(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many hashes may be in one of two sets only, if they have n hashes between them and the similarity."""
+    return (1 - similarity) / (1 + similarity) * n + 1e-6
+
+
+def _may_match(na: np.ndarray, at: np.ndarray, nb: np.ndarray, bt: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first common hash is at places at and bt can reach the similarity, by their sizes."""
+    return na + nb - 2 * np.minimum(na - at, nb - bt) <= _differ(na + nb, similarity)
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables made of whole cells (rows of one token; they come together), and where in the table each cell starts."""
+    held, rows = [], 0
+
+    def cut(last: bool) -> tuple[pa.Table, np.ndarray]:
+        nonlocal held, rows
+        table = pa.Table.from_batches(held)
+        token = table.column("token").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        end = len(token) if last else int(starts[-1])
+        held, rows = table.slice(end).to_batches(), len(token) - end
+        return table.slice(0, end), starts[starts < end]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CELLS and len(pa.compute.unique(pa.chunked_array([held[0].column(0)[:1], held[-1].column(0)[-1:]]))) > 1:
+                yield cut(False)
+    if rows:
+        yield cut(True)
+
+
+def _stars(similarity: float):
+    """Rows of cells with two texts or more; rep: the first text of about its length in the cell, null if none may match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches):
+            if not len(starts):
+                continue
+            cell = np.cumsum(np.bincount(starts, minlength=table.num_rows)) - 1
+            many = np.bincount(cell)[cell] > 1
+            token, nid, n, at = (table.column(c).to_numpy()[many] for c in ("token", "nid", "n", "at"))
+            cell = cell[many]
+            size = np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity)).astype(np.int64)
+            order = np.lexsort((nid, size, cell))
+            token, nid, n, at, cell, size = (x[order] for x in (token, nid, n, at, cell, size))
+            first = np.ones(len(cell), dtype=bool)
+            first[1:] = (cell[1:] != cell[:-1]) | (size[1:] != size[:-1])
+            rep = np.flatnonzero(first)[np.cumsum(first) - 1] if len(cell) else np.zeros(0, np.int64)
+            fits = ~first & _may_match(n, at, n[rep], at[rep], similarity)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (token, nid, n, at)), pa.array(nid[rep], mask=~fits)], names=["token", "nid", "n", "at", "rep"])
+
+    return run
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
+def _across(similarity: float, one: bool):
+    """All pairs of a cell's texts in different groups that may reach the similarity.
+
+    one: only of one text of each group, in cells that hold two texts of any group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches):
+            nid, n, at, label = (table.column(c).to_numpy() for c in ("nid", "n", "at", "label"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(nid)], strict=True):
+                rows = np.arange(lo, hi)
+                if one:
+                    rows = rows[np.lexsort((nid[rows], label[rows]))]
+                    head = np.concatenate([[True], label[rows[1:]] != label[rows[:-1]]])
+                    if head.all():
+                        continue
+                    rows = rows[head]
+                rows = rows[np.argsort(n[rows], kind="stable")]
+                upto = np.searchsorted(n[rows], n[rows] / similarity + 1e-6, side="right")
+                out = []
+                for k, x in enumerate(rows.tolist()):
+                    y = rows[k + 1 : upto[k]]
+                    y = y[(label[y] != label[x]) & _may_match(n[y], at[y], n[x], at[x], similarity)]
+                    if len(y):
+                        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= _differ(n[y] + n[x], similarity)]
+                        out.append(np.stack([np.minimum(nid[y], nid[x]), np.maximum(nid[y], nid[x])]))
+                        if sum(o.shape[1] for o in out) > CELLS or len(out) > CELLS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["a", "b"])
+                            out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["a", "b"])
+
+    return run
+
+
+def _alike(links: DataFrame, prints: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the staged links (a, b) whose texts are alike: by parity bits first, then on the whole texts."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                parts = t.encode("utf-8").lower().split()
-                hashes = np.array([xxh64_intdigest(s, 42) for s in shingles(parts, words)] if parts else [], dtype=np.uint64)
-                out.append(np.unique(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "hashes"])
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("ta", "tb")]
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= _differ(n, similarity)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [h.tobytes() for h in _sets(batch.column(1).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["nid", "hashes"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,13 +426,92 @@ def similar_groups(
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    bounded_batches(docs.sparkSession)
-    hashes = staged(wanted.mapInArrow(sets, "key string, hashes binary").dropDuplicates(["key"]), "shingles")
-    left, right = (hashes.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    checked = links.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(alike, "a string, b string")
-    labels = components(checked)
-    grouped = prints.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    grouped = staged(grouped.select("key", "id", F.coalesce("label", "key").alias("label")), "grouped")
+    ends = [prints.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"t{c}")) for c in "ab"]
+    close = links.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "ta", "tb")
+    close = staged(close.mapInArrow(near, "a long, b long"), "close")
+    asked = close.select(F.col("a").alias("nid")).unionByName(close.select(F.col("b").alias("nid"))).distinct()
+    asked = asked.join(prints.select("nid", "key"), "nid")
+    wanted = rows.join(asked.hint("shuffle_hash"), "key").select("nid", "text")
+    hashes = staged(wanted.mapInArrow(sets, "nid long, hashes binary").dropDuplicates(["nid"]), "shingles")
+    left, right = (hashes.select(F.col("nid").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    checked = close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    return staged(checked.mapInArrow(alike, "a long, b long"), "alike")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key, id, first for each distinct row (id, text) of docs: first is the key of its group's smallest id.
+
+    Texts are alike if the sets of their `words`-word shingles have a Jaccard similarity of `similarity` or more; groups
+    are what chains of alike texts connect. Shingles have one order: by hash, but LATE common ones (found in a sample,
+    which decides the order only) come last. Two alike texts share a shingle among the first n - similarity * n + 1 of
+    each (prefix filter), so cells of texts that share one hold all pairs. First each text is checked against one of its
+    cell; then all pairs of a cell that are still in different groups, but for those that sizes, places or parity bits
+    rule out. Groups that are next to each other are tried by one text of each until none unites, so that large groups
+    don't make all their pairs. Every link is checked on the whole texts, and nothing is pruned unchecked. key is made of id and text, so
+    identifiers that repeat with other texts don't mix; null ids and texts count as empty.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_prefix(h, h[:0], similarity) for h in _sets(batch.column(0).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
+
+    bounded_batches(spark)
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).select("text").mapInArrow(sample, "token long")
+    common = some.groupBy("token").count().where("count >= 16").orderBy(F.desc("count"), "token").limit(LATE).collect()
+    late = np.sort(np.array([r.token for r in common], dtype=np.int64).view(np.uint64))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch.column(2).to_pylist(), words))
+            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary())]
+            tokens = pa.array([_prefix(h, late, similarity).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, tokens], names=["key", "id", "n", "bits", "tokens"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(t, np.int64) for t in batch.column(2).to_pylist()]
+            if not found:
+                continue
+            count = np.array([len(t) for t in found])
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            columns = [np.concatenate(found), *[np.repeat(batch.column(k).to_numpy(), count) for k in (0, 1)], at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "nid", "n", "at"])
+
+    prints = rows.mapInArrow(sketch, f"key string, id {id_type}, n long, bits binary, tokens binary")
+    prints = staged(prints.withColumn("nid", F.monotonically_increasing_id()), "prints")
+    once = staged(prints.groupBy("key", "id").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("size")), "once")
+    if once.where("size > 1").limit(1).count():
+        prints = staged(prints.join(once.select("nid"), "nid", "left_semi"), "prints")
+    cells = prints.select("nid", "n", "tokens").mapInArrow(entries, "token long, nid long, n long, at long")
+    cells = cells.repartition("token").sortWithinPartitions("token")
+    cells = staged(cells.mapInArrow(_stars(similarity), "token long, nid long, n long, at long, rep long"), "cells")
+    links = cells.where("rep IS NOT NULL").select(F.least("nid", "rep").alias("a"), F.greatest("nid", "rep").alias("b"))
+    links = staged(links.distinct(), "candidates")
+    alike = _alike(links, prints, rows, words, similarity)
+    cells, one = cells.drop("rep"), True
+    while True:
+        labels = components(alike)
+        apart = cells.join(labels.withColumnRenamed("node", "nid"), "nid", "left")
+        apart = staged(apart.select("token", "nid", "n", "at", F.coalesce("label", "nid").alias("label")), "labelled")
+        mixed = apart.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        apart = staged(apart.join(mixed, "token", "left_semi"), "mixed")
+        cells = apart.drop("label")  # groups only grow, so a cell within one group stays so
+        apart = apart.join(prints.select("nid", "bits"), "nid").repartition("token").sortWithinPartitions("token")
+        more = apart.select("token", "nid", "n", "at", "label", "bits").mapInArrow(_across(similarity, one), "a long, b long").distinct()
+        more = staged(more.join(links, ["a", "b"], "left_anti"), "candidates")
+        found = _alike(more, prints, rows, words, similarity)
+        alike, links = alike.unionByName(found), links.unionByName(more)
+        if not one:
+            break
+        one = found.limit(1).count() > 0
+    labels = components(alike)
+    grouped = prints.select("nid", "key", "id").join(labels.withColumnRenamed("node", "nid"), "nid", "left")
+    grouped = staged(grouped.select("key", "id", F.coalesce("label", "nid").alias("label")), "grouped")
     best = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")
     first = staged(grouped.groupBy("label").agg(best, F.count(F.lit(1)).alias("size")), "first")
     return join_hot(grouped, first, ["label"], "size").select("key", "id", F.col("best.key").alias("first"))

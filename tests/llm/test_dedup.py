@@ -226,3 +226,25 @@ def test_links_are_short_and_real(spark):
     label = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     found = [label.get(v, v) for v in value.tolist()]
     assert len(set(zip(classes, found, strict=True))) == len(set(classes)) == len(set(found))
+
+
+def exactly_the_first(spark, texts):
+    shingles = [sets_of(t) for _, t in texts]
+    classes = brute_classes(shingles, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    want = {min(i for (i, _), c in zip(texts, classes, strict=True) if c == k) for k in set(classes)}
+    assert len(want) < len(texts)
+    assert sorted(r.doc_id for r in simhash.keep_first(odd(spark, texts)).collect()) == sorted(want)
+
+
+def test_near_copies_among_unlike_texts_of_near_word_sets(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(150):
+        base = rng.sample(vocabulary, 140)
+        texts.append((i, " ".join(base)))
+        if i % 5 == 0:
+            for k in rng.sample(range(10, 130), 2):
+                base[k] = rng.choice(vocabulary)
+            texts.append((1000 + i, " ".join(base)))
+    exactly_the_first(spark, texts)
