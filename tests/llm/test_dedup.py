@@ -248,3 +248,11 @@ def test_near_copies_among_unlike_texts_of_near_word_sets(spark):
                 base[k] = rng.choice(vocabulary)
             texts.append((1000 + i, " ".join(base)))
     exactly_the_first(spark, texts)
+
+
+def test_near_copies_beside_other_orders_of_the_same_words(spark):
+    rng = random.Random(9)
+    a = [f"w{k}" for k in range(100)]
+    other = rng.sample(a, 100)
+    texts = [(1, " ".join(other)), (2, " ".join(a)), (3, " ".join([*a[:-2], a[-1], a[-2]])), (4, " ".join([a[1], a[0], *a[2:], "one"]))]
+    exactly_the_first(spark, texts)

@@ -141,3 +141,18 @@ def test_quality_of_odd_rows(spark):
     one = quality.train(docs, labels.where("quality = 1"))
     assert all(r.score > 0.9 for r in quality.score(docs, one).collect())
     assert quality.score(docs.where("doc_id > 9999"), model).count() == 0
+
+
+def test_title_byline_and_short_sections_beside_the_container_stay():
+    from sitesignal.llm.html_extract import main_text
+
+    long = "".join(f"<p>A sentence, number {k}, that is part of a long body of text. It goes on, and on.</p>" for k in range(20))
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Part number {k} of the site</a></li>" for k in range(12)) + "</ul>"
+    page = lambda body: main_text(f"<html><body><div>{menu}</div>{body}</body></html>").split("\n")
+    post = page(f"<div class=post><h1>The title</h1><p>By Ann</p><div class=body>{long}</div><p><a href=/t>tag</a></p></div>")
+    assert post[:2] == ["The title", "By Ann"] and len(post) == 22
+    for tag in ("section", "blockquote", "div"):
+        parts = page(f"<div><{tag}><h2>One</h2>{long}</{tag}><{tag}><h2>Two</h2><p>A short one.</p></{tag}></div>")
+        assert parts[0] == "One" and parts[-2:] == ["Two", "A short one."] and len(parts) == 23
+    table = page(f"<div><p>Before it.</p><table><tr><td>{long}</td></tr></table><p>After it.</p></div>")
+    assert table[0] == "Before it." and table[-1] == "After it." and len(table) == 22
