@@ -256,3 +256,27 @@ def test_near_copies_beside_other_orders_of_the_same_words(spark):
     other = rng.sample(a, 100)
     texts = [(1, " ".join(other)), (2, " ".join(a)), (3, " ".join([*a[:-2], a[-1], a[-2]])), (4, " ".join([a[1], a[0], *a[2:], "one"]))]
     exactly_the_first(spark, texts)
+
+
+def test_near_copies_of_short_and_longer_texts_at_the_least_similarity(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts = []
+    for i in range(60):
+        n = rng.choice([20, 20, 60, 200])
+        base = [word() for _ in range(n)]
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [word() for _ in range((n - 4) // 4)]))]
+    exactly_the_first(spark, texts)
+
+
+def test_shingles_that_come_last_lose_no_pair(spark):
+    rng = random.Random(11)
+    line = " ".join(f"c{k}" for k in range(14))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for i in range(400):
+        base = [word() for _ in range(rng.choice([2, 30]))]
+        texts.append((i, " ".join([line, *base])))
+        if i % 20 == 0:
+            texts.append((1000 + i, " ".join([line, *base, word()])))
+    exactly_the_first(spark, texts)
