@@ -4,7 +4,8 @@ Every text block of a page has a path of tags from the root. Blocks of one path
 article, all items of a menu), so text length and punctuation are averaged over each path. Both ratios, as a sequence in
 page order, are smoothed with a Gaussian and fused by their product; paths whose fused ratio stays under a share of the
 standard deviation are not content. The content blocks then point to their container, the lowest element that holds
-nearly all of their text, and what belongs to it, short headings included, is the article. Elements that say what they
+nearly all of their text. Unless an article or main element bounds it, it only marks the place: it is widened to the highest
+element that adds no lists of links, so that title, byline and short sections beside it stay. Elements that say what they
 are (nav, footer, aside, form, or a class such as sidebar, cookie, comments) are set aside before the ratios are taken.
 """
 
@@ -259,11 +260,25 @@ def main_text(page: str | None) -> str:
             container = element
             if tags[element] in ("article", "main") and not _nested(element, held, tags, total, blocks):
                 break
+    if container is not None and not any(tags[e] in ("article", "main") for b in blocks if container in b.chain for e in b.chain[: b.chain.index(container) + 1]):
+        container = _whole(container, blocks)
     inside = [b for b in blocks if container is None or container in b.chain]
     keep = lambda b: b.linked < 0.8 * len(b.text) or best[b.path] >= max(threshold, 1e-9)
     return "\n".join(b.text for b in inside if keep(b))
 
 
+def _whole(container: int, blocks: list[Block]) -> int:
+    """The highest element around the container to which each step adds more text than link lists: title, byline, sections."""
+    chain = next(b.chain for b in blocks if container in b.chain)
+    for element in reversed(chain[: chain.index(container)]):
+        added = [b for b in blocks if element in b.chain and container not in b.chain]
+        lists = sum(len(b.text) for b in added if b.linked >= 0.8 * len(b.text))
+        if lists and 2 * lists >= sum(len(b.text) for b in added):
+            break
+        container = element
+    return container
+
+
 def _nested(element: int, held: dict[int, int], tags: dict[int, str], total: int, blocks: list[Block]) -> bool:
     """Whether an article inside this element holds the content as well (main around article)."""
     if tags[element] == "article":
