@@ -28,9 +28,6 @@ EXISTING_KEYWORDS = (
     r"|\bRAISE|\bINCREASE|\bTOP ?HAT|\bEXTENSION|\bADD(ING|ITION)?\b|\b5G\b"
 )
 
-#: Rounds of code stripping. Each strips something or the name is done; tests hold one more round to be without effect.
-STRIP_ROUNDS = 8
-
 
 def empty_to_null(c: Column) -> Column:
     return F.when(c != "", c)
@@ -40,9 +37,12 @@ def _strip_codes(c: Column) -> Column:
     return reduce(lambda s, code: F.trim(F.regexp_replace(s, code, "")), TRAILING_CODES, c)
 
 
-def strip_codes(c: Column, rounds: int = STRIP_ROUNDS) -> Column:
-    """An upper-cased name without trailing codes: a fixpoint, unrolled to `rounds` rounds by a fold over a sequence."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), c, lambda s, _: _strip_codes(s))
+def strip_codes(c: Column) -> Column:
+    """An upper-cased name without trailing codes, however many. Each round that changes the name shortens it, so as many
+    rounds as it has characters reach the fixpoint; a name that has come to rest is passed through."""
+    start = F.struct(c.alias("name"), F.lit(None).cast("string").alias("before"))
+    strip = lambda x, _: F.when(x["name"] == x["before"], x).otherwise(F.struct(_strip_codes(x["name"]).alias("name"), x["name"].alias("before")))
+    return F.aggregate(F.sequence(F.lit(1), F.length(c) + 1), start, strip, lambda x: x["name"])
 
 
 def normalize_name(c: Column) -> Column:
@@ -64,6 +64,7 @@ def normalize_number(c: Column) -> Column:
     return empty_to_null(F.regexp_replace(digits, "^0+", ""))
 
 
+# Fixed value: the form of a study number.
 STUDY = r"^(\d{2}|\d{4})-([A-Z]+)-0*(\d+)-(OE|NRA)$"
 
 

@@ -116,6 +116,7 @@ def attribute(cases: DataFrame, rules: RuleSet | None = None, sponsor: str = "sp
     return out.withColumn("entity_source", F.when(F.col("entity").isNotNull(), F.lit("sponsor")))
 
 
+# Fixed value: domains of government bodies.
 GOVERNMENT = r"\.gov$|\.mil$|(^|\.)(state|k12)\.[a-z]{2}\.us$"
 
 

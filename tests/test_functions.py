@@ -25,7 +25,9 @@ def test_normalize_name(spark):
 def test_stripping_has_come_to_rest(spark):
     names = [*[n for n in NAMES if n], "X (A) (B) (C) - D_EF ~ G", "LLC - A - B - C - D", "USA AB CD EF", "A_BC_DE_FG (H)"]
     upper = [n.upper() for n in names]
-    assert apply(spark, text.strip_codes, upper) == apply(spark, lambda c: text.strip_codes(c, text.STRIP_ROUNDS + 1), upper)
+    assert apply(spark, text.strip_codes, upper) == apply(spark, lambda c: text._strip_codes(text.strip_codes(c)), upper)
+    many = "ACME TOWERS LLC" + "".join(f" - A{k}" for k in range(12))
+    assert apply(spark, text.strip_codes, [many, None, ""]) == ["ACME TOWERS LLC", None, ""]
 
 
 def test_base_name(spark):

@@ -19,7 +19,7 @@ def test_taxonomy(spark):
 def test_name_rules(spark):
     names = {
         "American Towers, LLC": ("American Tower", "AMT", "tower_reit"), "AT&T Mobility": ("AT&T", "T", "carrier"), "Verizon Wireless (VAW) LLC": ("Verizon", "VZ", "carrier"),
-        "The Towers, LLC": ("The Towers (Vertical Bridge/Verizon JV)", None, "private_towerco"), "Tarpon Towers II, LLC": ("TARPON TOWERS", None, "private_towerco"),
+        "The Towers, LLC": ("The Towers (Vertical Bridge/Verizon JV)", None, "private_towerco"), "Pinewood Towers II, LLC": ("PINEWOOD TOWERS", None, "private_towerco"), "Tarpon Towers II, LLC": ("Tarpon Towers", None, "private_towerco"),
         "Some Engineering Inc": (None, None, "consultant"), "Rural Electric Cooperative Inc": ("RURAL ELECTRIC COOPERATIVE", None, "utility"), "Nobody Known": (None, None, None), None: (None, None, None),
     }
     df = spark.createDataFrame([(n,) for n in names], "sponsor string")
