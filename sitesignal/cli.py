@@ -7,6 +7,7 @@ import os
 from datetime import date
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.operators import coverage, rules, truth
@@ -72,28 +73,30 @@ def main(argv: list[str] | None = None, source: client.Source | None = None, tod
     store, landing = Store(spark, f"file://{root}/tables"), client.Landing(root)
     rule_set = rules.RuleSet.load()
 
-    def fold(paths: list[Path]) -> None:
-        by_day: dict[str, list[Path]] = {}
-        for p in paths:
-            by_day.setdefault(next(x for x in p.parts if x.startswith("asof=")).removeprefix("asof="), []).append(p)
-        for day, some in sorted(by_day.items()):
-            batch = case_xml.read_cases(spark, [f"file://{p}" for p in some]).withColumns({"asof": F.lit(day).cast("date"), "batch_seq": F.monotonically_increasing_id()})
-            store.fold(batch)
+    def snapshots(paths: list[Path], first: int) -> DataFrame:
+        """The cases of raw answers with asof, the day in their path, and batch_seq: the number, in the log, of their file."""
+        days = [next(x for x in p.parts if x.startswith("asof=")).removeprefix("asof=") for p in paths]
+        named = [(p.relative_to(landing.root).as_posix(), date.fromisoformat(day), first + k) for k, (p, day) in enumerate(zip(paths, days, strict=True))]
+        names = spark.createDataFrame(named, "file string, asof date, batch_seq long")
+        cases = case_xml.read_cases(spark, [f"file://{p}" for p in paths])
+        return cases.withColumn("file", F.concat(F.lit("raw/"), F.substring_index(F.input_file_name(), "/raw/", -1))).join(names, "file").drop("file")
+
+    def stage(paths: list[Path]) -> None:
+        store.stage(snapshots(paths, sum(len(e["files"]) for e in landing.entries())))
 
     if a.command in ("backfill", "ingest"):
         entries = [(e["case_type"], e["year"], e["region"], date.fromisoformat(e["start"]), date.fromisoformat(e["end"])) for e in landing.entries()]
         done = spark.createDataFrame(entries, "case_type string, year int, region string, start date, end date")
         which = {"types": a.types, "regions": a.regions}
         todo = windows.backfill(spark, a.first, a.last, today, done, **which) if a.command == "backfill" else windows.incremental(spark, a.days, today, **which)
-        stats = client.pull(windows.as_windows(todo), source or client.Client(), landing, today, fold, a.workers)
+        stats = client.pull(windows.as_windows(todo), source or client.Client(), landing, today, stage, a.workers)
+        store.compact()
         print(f"windows={stats.windows} requests={stats.requests} rows={stats.rows} capped={len(stats.capped)} errors={len(stats.errors)}")
         for line in [f"CAPPED: {w}" for w in stats.capped] + [f"ERROR: {e}" for e in stats.errors]:
             print(line)
         return 1 if stats.errors else 0
     if a.command == "rebuild":
-        for name in ("cases", "case_history"):
-            store.drop(name)
-        fold([root / f for e in landing.entries() for f in e["files"]])
+        store.rebuild(snapshots([root / f for e in landing.entries() for f in e["files"]], 0))
         print(f"rebuilt {store.read('cases').count():,} cases")
     elif a.command == "coverage":
         cases = store.read("cases")
