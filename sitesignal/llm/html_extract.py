@@ -2,11 +2,12 @@
 
 Every text block of a page has a path of tags from the root. Blocks of one path are alike (all paragraphs of an
 article, all items of a menu), so text length and punctuation are averaged over each path. Both ratios, as a sequence in
-page order, are smoothed with a Gaussian and fused by their product; paths whose fused ratio stays under a share of the
-standard deviation are not content. The content blocks then point to their container, the lowest element that holds
-nearly all of their text. Unless an article or main element bounds it, it only marks the place: it is widened to the highest
-element that adds no lists of links, so that title, byline and short sections beside it stay. Elements that say what they
-are (nav, footer, aside, form, or a class such as sidebar, cookie, comments) are set aside before the ratios are taken.
+page order, are smoothed with a Gaussian and fused by their product; paths whose fused ratio reaches a share of the
+standard deviation select the content nodes. These point to their container, the lowest element that holds nearly all of
+their text; what lies outside of it goes, whatever it is called. Unless an article or main element bounds it, the
+container is widened to the highest element that adds what may belong to it, so that title, byline and short sections
+beside it stay. Names are a correction only: within the container, elements that say that they are something else (nav,
+footer, aside, form, or a class such as sidebar, cookie, comments) are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches
+from sitesignal.llm.common import pieces
 
 # Tags by their role in HTML.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -64,6 +65,8 @@ SPACE = re.compile(r"\s+")
 LAMBDA = 0.5
 #: Share of the content's text that its container holds.
 HELD = 0.9
+#: Short blocks without heading or content node that make a row of something else, beside the content.
+BESIDE_ROW = 3
 
 
 class Block:
@@ -223,7 +226,7 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 
 def content_paths(blocks: list[Block]) -> tuple[dict[str, float], float]:
-    """The fused ratio of each path, and the threshold."""
+    """The fused ratio of each path, averaged over its smoothed blocks, and the threshold."""
     totals: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b in blocks:
         t = totals[b.path]
@@ -233,47 +236,66 @@ def content_paths(blocks: list[Block]) -> tuple[dict[str, float], float]:
     length = _smooth(np.array([totals[b.path][0] / totals[b.path][2] for b in blocks]))
     marks = _smooth(np.array([totals[b.path][1] / totals[b.path][2] for b in blocks]))
     fused = length * (1.0 + marks)
-    best: dict[str, float] = {}
-    for b, f in zip(blocks, fused, strict=True):
-        best[b.path] = max(best.get(b.path, 0.0), float(f)) if totals[b.path][0] else 0.0
-    return best, LAMBDA * float(fused.std())
+    mean: dict[str, float] = defaultdict(float)
+    for b, f in zip(blocks, fused.tolist(), strict=True):
+        mean[b.path] += f / totals[b.path][2] if totals[b.path][0] else 0.0
+    return dict(mean), LAMBDA * float(fused.std())
 
 
 def main_text(page: str | None) -> str:
     """The article's text of one page; empty if there is none."""
-    found, tags = blocks_of(page or "")
-    blocks = [b for b in found if not b.aside]
+    every, tags = blocks_of(page or "")
+    blocks = [b for b in every if not b.aside]
     if not blocks:
         return ""
-    best, threshold = content_paths(blocks)
+    content, best, threshold = _selected(every)
+    size = lambda some: sum(len(b.text) - b.linked for b in some)
+    if 2 * size(b for b in content if not b.aside) < size(content):
+        # most of what the ratios select says that it is something else (a long thread of comments): they are taken anew
+        content, best, threshold = _selected(blocks)
     held: dict[int, int] = defaultdict(int)
+    chosen = {id(b) for b in content if not b.aside}
     total = 0
-    for b in blocks:
-        if best[b.path] >= threshold and b.linked < len(b.text):
-            size = len(b.text) - b.linked
-            total += size
+    for b in content:
+        if id(b) in chosen:
+            total += len(b.text) - b.linked
             for element in b.chain:
-                held[element] += size
+                held[element] += len(b.text) - b.linked
     container: int | None = None
-    for element in sorted(held, key=lambda e: e):  # page order: an element comes before what it holds
+    for element in sorted(held):  # page order: an element comes before what it holds
         if tags[element] in CONTAINER and held[element] >= HELD * total:
             container = element
             if tags[element] in ("article", "main") and not _nested(element, held, tags, total, blocks):
                 break
     if container is not None and not any(tags[e] in ("article", "main") for b in blocks if container in b.chain for e in b.chain[: b.chain.index(container) + 1]):
-        container = _whole(container, blocks)
+        container = _whole(container, blocks, tags, chosen)
     inside = [b for b in blocks if container is None or container in b.chain]
-    keep = lambda b: b.linked < 0.8 * len(b.text) or best[b.path] >= max(threshold, 1e-9)
+    keep = lambda b: b.linked < 0.8 * len(b.text) or best.get(b.path, 0.0) >= max(threshold, 1e-9)
     return "\n".join(b.text for b in inside if keep(b))
 
 
-def _whole(container: int, blocks: list[Block]) -> int:
-    """The highest element around the container to which each step adds more text than link lists: title, byline, sections."""
+def _selected(blocks: list[Block]) -> tuple[list[Block], dict[str, float], float]:
+    """The content nodes: blocks whose path's fused ratio reaches the threshold; and the ratios and the threshold."""
+    best, threshold = content_paths(blocks)
+    return [b for b in blocks if best[b.path] >= threshold and b.linked < len(b.text)], best, threshold
+
+
+def _whole(container: int, blocks: list[Block], tags: dict[int, str], chosen: set[int]) -> int:
+    """The highest element around the container to which each step adds what may belong to the content: title, byline,
+    sections, but no lists of links, nor rows of short blocks without a heading or a content node."""
     chain = next(b.chain for b in blocks if container in b.chain)
+    linked = lambda b: b.linked >= 0.8 * len(b.text)
     for element in reversed(chain[: chain.index(container)]):
-        added = [b for b in blocks if element in b.chain and container not in b.chain]
-        lists = sum(len(b.text) for b in added if b.linked >= 0.8 * len(b.text))
-        if lists and 2 * lists >= sum(len(b.text) for b in added):
+        within = [k for k, b in enumerate(blocks) if element in b.chain]
+        held = [k for k in within if container in blocks[k].chain]
+        added = [blocks[k] for k in within if container not in blocks[k].chain]
+        lists = [b for b in added if linked(b)]
+        if lists and 2 * sum(len(b.text) for b in lists) >= sum(len(b.text) for b in added):
+            break
+        if tags[element] in ("body", "html") and len(lists) >= BESIDE_ROW:
+            break
+        sides = [blocks[k] for k in within if k < held[0]], [blocks[k] for k in within if k > held[-1]]
+        if any(len(side) >= BESIDE_ROW and not any(id(b) in chosen or b.path.rsplit("/", 1)[-1] in HEADINGS for b in side) for side in sides):
             break
         container = element
     return container
@@ -295,11 +317,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     that matters: paragraphs, list items and cells end where the next begins, script and style end only at their own end
     tag. Rows that repeat give rows that repeat; an empty table gives an empty result; other columns are not read.
     """
-    bounded_batches(pages.sparkSession)
     types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(p.as_py()) for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -156,3 +156,27 @@ def test_title_byline_and_short_sections_beside_the_container_stay():
         assert parts[0] == "One" and parts[-2:] == ["Two", "A short one."] and len(parts) == 23
     table = page(f"<div><p>Before it.</p><table><tr><td>{long}</td></tr></table><p>After it.</p></div>")
     assert table[0] == "Before it." and table[-1] == "After it." and len(table) == 22
+
+
+PLAIN = """<html><body><div><div><div><a href=/1>Start</a></div><div><a href=/2>Places and people</a></div><div><a href=/3>About it</a></div></div>
+<div><div><div>Some words of the site that stand above everything</div><div>Tuesday the fourth</div><div>Edition number seven</div></div>
+<div><div><h2>A title of the text</h2><div>By Ann Other</div>%s</div></div>
+<div>%s</div></div><div><div>All kinds of rights</div><div>Made by some people</div><div>Written in the hills</div></div></div></body></html>"""
+
+
+def test_ratios_select_where_names_say_nothing(monkeypatch):
+    said = [f"A sentence, number {k}, that is part of a long text. It goes on, and on; then it ends, with a full stop." for k in range(12)]
+    beside = [f"<div><div>Short words of place {k} that nobody reads</div></div>" for k in range(30)]
+    page = PLAIN % ("".join(f"<p>{x}</p>" for x in said), "".join(beside))
+    want = "\n".join(["A title of the text", "By Ann Other", *said])
+    assert main_text(page) == want
+    # it is the ratios that do it: without them the page's other text comes along
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: ({b.path: 1.0 for b in blocks}, 0.0))
+    assert main_text(page) != want and "nobody reads" in main_text(page)
+
+
+def test_very_deep_and_long_pages():
+    deep = "<div>" * 3000 + "<p>Some text, that is deep, and goes on.</p>" + "</div>" * 3000
+    assert main_text(deep) == "Some text, that is deep, and goes on."
+    long = "<div>" + "".join(f"<p>Paragraph {k}, with a comma, and a stop.</p>" for k in range(5000)) + "</div>"
+    assert main_text(long).count("\n") == 4999
