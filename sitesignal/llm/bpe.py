@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches
+from sitesignal.llm.common import pieces
 
 #: Pre-tokens whose ids a worker remembers; when the memory is full it starts anew, which costs time only.
 CACHE = 200_000
@@ -226,25 +226,22 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     repeat; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     spec = _spec(spark, tokenizer)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(spec.value)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [bpe.encode_bytes(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array([bpe.decode(x) for x in ids], pa.string()),
-                    ],
-                    names=[id_col, "n_tokens", "ids", "decoded"],
-                )
+        for part in pieces(batches, rows=256, size=4 << 20):
+            ids = [bpe.encode_bytes(t or "") for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array([bpe.decode(x) for x in ids], pa.string()),
+                ],
+                names=[id_col, "n_tokens", "ids", "decoded"],
+            )
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids binary, decoded string"
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesignal.session import staged
+from sitesignal import session
 
-__all__ = ["ASCII_UPPER", "HOT_KEYS", "ascii_lower", "bounded_batches", "join_hot", "row_key", "staged"]
+#: Arrow batches of the steps that are staged.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,13 +37,35 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str) ->
     return quick.unionByName(rest)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "16m") -> None:
-    """Keeps Arrow batches small in bytes, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read back. Arrow batches are small while it is written, so that long texts
+    don't pile up; the caller's settings are as before afterwards."""
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name) for name in SMALL}
+    try:
+        for name, value in SMALL.items():
+            conf.set(name, value)
+        return session.staged(df, tag)
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about `size` bytes and at most `rows` rows, whatever the session's own batches are."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     """A name made of identifier and whole text; nulls count as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for the session."""
+    for name, value in SMALL.items():
+        spark.conf.set(name, value)

@@ -82,21 +82,20 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns.
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
 
     Rows are matched by identifier and digest. Only rows that repeat both, which no column tells apart, need the extra
     pass that leaves one of them.
     """
     marked = staged(exact_dedup(docs, id_col, text_col, keep), "dedup-marked")
-    winners = marked.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    winners = marked.where("kept").select(F.col(id_col).alias("wid"), F.col("text_sha256").alias("wsha"))
     sha = F.sha2(F.encode(ascii_lower(F.col(text_col)), "UTF-8"), 256)
-    left = docs.withColumn("__sha", sha)
-    same = left["__sha"].eqNullSafe(winners["__sha"]) & left[id_col].eqNullSafe(winners["__id"])
-    kept = left.join(winners, same, "left_semi")
+    left = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), sha.alias("sha"))
+    kept = left.join(winners, left["sha"].eqNullSafe(winners["wsha"]) & left["id"].eqNullSafe(winners["wid"]), "left_semi")
     again = marked.where(F.col("keep_id").eqNullSafe(F.col(id_col)) & ~F.col("kept"))
-    again = again.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    again = again.select(F.col(id_col).alias("wid"), F.col("text_sha256").alias("wsha")).distinct()
     if again.limit(1).count():
-        twice = kept["__sha"].eqNullSafe(again["__sha"]) & kept[id_col].eqNullSafe(again["__id"])
-        once = kept.join(again, twice, "left_semi").dropDuplicates(["__sha", id_col])
+        twice = kept["sha"].eqNullSafe(again["wsha"]) & kept["id"].eqNullSafe(again["wid"])
+        once = kept.join(again, twice, "left_semi").dropDuplicates(["sha", "id"])
         kept = kept.join(again, twice, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select("doc.*")

@@ -12,15 +12,12 @@ its landing misses: a few words, where the last group has documents enough to ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches, row_key, staged
+from sitesignal.llm.common import row_key, staged
 
 #: Documents in a group of a flight, on average.
 GROUP = 256
@@ -32,17 +29,31 @@ BROADCAST_SOURCES = 20_000
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, size (words), key and row for each row of docs."""
-    bounded_batches(docs.sparkSession)
-    types = {c: docs.schema[c].dataType.simpleString() for c in (id_col, source_col)}
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        row_key(id_col, text_col).alias("key"), F.monotonically_increasing_id().alias("row"),
+    )
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # on bytes, split() parts words at 20 and 09-0D only
-            n = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["id", "source", "size", "key"])
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (staged) with again: the number, from 0, of a row among those that repeat its identifier, size and source.
 
-    rows = docs.select(id_col, source_col, F.col(text_col).cast("string").alias("__text"), row_key(id_col, text_col).alias("__key"))
-    return rows.mapInArrow(run, f"id {types[id_col]}, source {types[source_col]}, size long, key string").withColumn("row", F.monotonically_increasing_id())
+    Repeats are numbered within each input partition first, then partitions of one key follow each other, so rows that
+    repeat a thousand times, or null identifiers, are no hot key.
+    """
+    key = F.xxhash64(F.col("id").isNull(), "id", "size", F.col("source").isNull(), "source")
+    part = F.shiftright("row", 33)
+    keyed = rows.withColumns({"name": key, "part": part})
+    if not keyed.groupBy("name").count().where("count > 1").limit(1).count():
+        return rows.withColumn("again", F.lit(0).cast("long"))
+    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("name", "part").count()
+    counts = counts.select("name", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("name", "part").orderBy("row"))
+    out = keyed.withColumn("rank", rank).join(counts, ["name", "part"])
+    return staged(out.select(*rows.columns, (F.col("before") + F.col("rank") - 1).alias("again")), "mix-numbered")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat: float = 3.0) -> DataFrame:
@@ -175,13 +186,13 @@ def take(
     Rows that repeat identifier and text count as one document, taken as often as all of them together.
     """
     mixed = mix(docs, weights, repeat, id_col, text_col, source_col, keyed=True)
-    copies = mixed.where("taken > 0").groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    copies = staged(copies.withColumnRenamed("key", "__name"), "mix-copies")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    found = keyed.join(copies.hint("shuffle_hash"), keyed["__key"] == copies["__name"])
-    if copies.where("__rows > 1").limit(1).count():
-        found = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["__key"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = mixed.where("taken > 0").groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    copies = staged(copies, "mix-copies")
+    keyed = docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key"))
+    found = keyed.join(copies.hint("shuffle_hash"), "key")
+    if copies.where("rows > 1").limit(1).count():
+        found = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["key"]))
+    return found.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def mix(
@@ -195,7 +206,7 @@ def mix(
     that repeat all three, which of them is taken is open, but how many is not. An empty table gives an empty result.
     Other columns are not read. keyed: with row_key in a further column, key.
     """
-    rows = staged(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = numbered(staged(sizes(docs, id_col, text_col, source_col), "mix-sizes"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     goal = staged(targets(sources, weights, repeat), "mix-targets")
     few = goal.count() <= BROADCAST_SOURCES
@@ -206,7 +217,7 @@ def mix(
     plan = joined.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.round(ratio, 12) - F.col("whole")))
     # groups of about GROUP documents in each source
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP))
-    plan = plan.withColumn("h", F.xxhash64(F.col("id"), F.col("size"), F.lit("mix"))).withColumn("groups", groups)
+    plan = plan.withColumn("h", F.xxhash64("id", "size", "again", F.lit("mix"))).withColumn("groups", groups)
     flying = plan.where((F.col("p") > 0) & (F.col("size") > 0)).select("row", "source", "size", "p", "h", "groups")
     flying = staged(flying.withColumn("group", F.pmod("h", "groups")), "mix-start")
     schema = flying.schema

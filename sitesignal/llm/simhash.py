@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches, join_hot, row_key, staged
+from sitesignal.llm.common import join_hot, row_key, staged
 from sitesignal.llm.components import components
 
 #: Nodes in one BK-tree.
@@ -65,7 +65,6 @@ def shingles(parts: list[bytes], words: int) -> list[bytes]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """id, fp for each row of docs; fp holds the 64 bits as a signed long. More seeds: fp, fp1, ..."""
-    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +250,6 @@ def near_links(nodes: DataFrame, radius: int = 4, blocks: int = 6, real: bool =
         entries = entries.select("t", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fp")
     else:
         entries = entries.select("t", "key", *[F.lit(0).alias(c) for c in ("x", "y", "part")], "fp")
-    spark = nodes.sparkSession
-    bounded_batches(spark, rows=1 << 16)
     cells = entries.repartition("t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
     return cells.select("t", "key", "x", "y", "part", "fp").mapInArrow(_search_cells(radius, real), "a long, b long")
 
@@ -460,7 +457,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [_prefix(h, h[:0], similarity) for h in _sets(batch.column(0).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
 
-    bounded_batches(spark)
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).select("text").mapInArrow(sample, "token long")
     common = some.groupBy("token").count().where("count >= 16").orderBy(F.desc("count"), "token").limit(LATE).collect()
     late = np.sort(np.array([r.token for r in common], dtype=np.int64).view(np.uint64))
@@ -520,11 +516,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that are their group's first, with all their columns; of rows that repeat, one."""
     groups = staged(similar_groups(docs, id_col, text_col, words, similarity), "groups")
-    names = groups.where("key = first").select(F.col("key").alias("__first"))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    kept = keyed.join(names.hint("shuffle_hash"), keyed["__key"] == names["__first"], "left_semi")
-    again = staged(docs.select(row_key(id_col, text_col).alias("__key")).groupBy("__key").count().where("count > 1").select("__key"), "repeats")
+    names = groups.where("key = first").select("key")
+    keyed = docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key"))
+    kept = keyed.join(names.hint("shuffle_hash"), "key", "left_semi")
+    again = staged(docs.select(row_key(id_col, text_col).alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeats")
     if again.limit(1).count():
-        once = kept.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-        kept = kept.join(again, "__key", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+        kept = kept.join(again, "key", "left_anti").unionByName(once)
+    return kept.select("doc.*")
