@@ -12,7 +12,6 @@ Queries and blocks meet in cells of at most QUERIES queries and one block, so no
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -153,9 +152,9 @@ def top_k(
 
     is_query makes a condition of the identifier. Vectors that are null, hold a null or non-finite component, or have a null
     identifier take no part, as queries neither. Vectors shorter than the longest are padded with zeros; an empty one
-    scores 0 with all. A row with the query's own identifier is not its candidate. Fewer than k candidates: all are
-    returned. Query rows that repeat an identifier count as one query; candidates that repeat it are ranked next to
-    each other. An empty table gives an empty result. Other columns are not read. Scores beyond 64 bits saturate.
+    scores 0 with all. A row with the query's own identifier is not its candidate, repeats included. Fewer than k
+    candidates: all are returned. Query rows that repeat an identifier are one query, that of the vector whose packed bytes
+    come first; candidates that repeat it are ranked next to each other. An empty table gives an empty result. Other columns are not read. Scores beyond 64 bits saturate.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
@@ -171,11 +170,12 @@ def top_k(
     lengths = by_length.groupBy("block").agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).collect()  # BLOCKS rows at most
     lengths = sorted((r["block"], r["norm"]) for r in lengths)
 
-    queries = packed.where(is_query(F.col("id"))).dropDuplicates(["id"])
+    queries = packed.where(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "q.v", "q.norm")
     queries = queries.withColumn("row", F.monotonically_increasing_id())
     longest = by_length.select("id", "norm", "v").orderBy(F.desc("norm"), "id").limit(FIRST)
     head = spark.sparkContext.broadcast([tuple(r) for r in longest.collect()])  # FIRST vectors at most
     turned = spark.sparkContext.broadcast(turn)
+    steps = spark.sparkContext.broadcast((np.array([b for b, _ in lengths], np.int32), np.array([-x for _, x in lengths])))  # BLOCKS at most
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = head.value
@@ -192,21 +192,24 @@ def top_k(
                 found[row].append((x, -c))
             last = [min(x) if len(x) == k else (-np.inf, 0) for x in found]
             floors = [pa.array([float(x) for x, _ in last], pa.float64()), pa.array([-c for _, c in last], batch.schema.field("id").type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *floors], names=["id", "norm", "v", "row", "floor", "floor_id"])
-
-    schema = f"id {id_type}, norm double, v binary, row long, floor double, floor_id {id_type}"
+            # a query of length n visits the blocks whose longest vector is floor / n at least; the blocks come by length
+            floor, norm = floors[0].to_numpy(), side["norm"]
+            reach = np.where((norm > 0) & np.isfinite(floor), floor / np.where(norm > 0, norm, 1) * (1 - np.sign(floor) * 1e-9), -np.inf)
+            upto = np.searchsorted(steps.value[1], -reach, side="right")
+            visit = pa.array([steps.value[0][:m].tolist() for m in upto.tolist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *floors, visit], names=["id", "norm", "v", "row", "floor", "floor_id", "visit"])
+
+    schema = f"id {id_type}, norm double, v binary, row long, floor double, floor_id {id_type}, visit array<int>"
     queries = staged(queries.select("id", "norm", "v", "row").mapInArrow(start, schema), "topk-queries")
 
-    # a query of length n visits the blocks whose longest vector is floor / n at least; the blocks come by length
-    reach = F.when(F.col("floor") == float("-inf"), F.lit(float("-inf"))).when(F.col("norm") > 0, F.col("floor") / F.col("norm") * (1 - F.signum("floor") * 1e-9))
-    reach = reach.otherwise(F.lit(float("-inf")))
-    steps = [F.from_json(F.lit(json.dumps([x[c] for x in lengths])), f"array<{t}>") for c, t in ((0, "int"), (1, "double"))]
-    visited = F.filter(F.arrays_zip(steps[0].alias("b"), steps[1].alias("n")), lambda x: x["n"] >= F.col("reach"))
-    spread = queries.withColumn("reach", reach).withColumn("visit", F.explode(visited))
     groups = max(1, -(-queries.count() // QUERIES))
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
-    asked = spread.select(F.col("visit.b").alias("block"), group.alias("cell"), F.lit(1).alias("side"), "row", "id", "norm", "v", "floor", "floor_id")
-    offered = by_length.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("row"), "id", "norm", "v", F.lit(0.0).alias("floor"), F.col("id").alias("floor_id"))
+    spread = queries.withColumn("cell", group).withColumn("block", F.explode("visit"))
+    asked = spread.select("block", "cell", F.lit(1).alias("side"), "row", "id", "norm", "v", "floor", "floor_id")
+    # only the pairs of a block and a group of queries that are visited; a block has about block_size vectors
+    pairs = staged(spread.select("block", "cell").distinct(), "topk-pairs")
+    offered = by_length.join(pairs, "block")
+    offered = offered.select("block", "cell", F.lit(0).alias("side"), F.lit(0).cast("long").alias("row"), "id", "norm", "v", F.lit(0.0).alias("floor"), F.col("id").alias("floor_id"))
 
     def cell(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
