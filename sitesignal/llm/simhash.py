@@ -17,11 +17,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import join_hot, row_key, staged
+from sitesignal.llm.common import join_hot, pieces, row_key, staged
 from sitesignal.llm.components import components
 
 #: Nodes in one BK-tree.
@@ -32,8 +31,10 @@ FRONTIER = 1 << 18
 LATE = 4096
 #: Parity bits of a text's shingles.
 BITS = 2048
-#: Rows of cells taken together, and pairs given out together.
+#: Rows of cells taken together, and pairs looked at together.
 CELLS = 1 << 16
+#: Texts of one shingle beyond which they are parted.
+CROWD = 1 << 15
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -44,10 +45,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     if not parts:
         return 0
     hashes = [xxh64_intdigest(s, seed) for s in (set(parts) if words == 0 else shingles(parts, words))]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the 64-bit hashes; 0 without any."""
     total = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 32768):
-        part = np.array(hashes[lo : lo + 32768], dtype=">u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        bits = np.unpackbits(hashes[lo : lo + 32768].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
@@ -318,85 +323,84 @@ def _may_match(na: np.ndarray, at: np.ndarray, nb: np.ndarray, bt: np.ndarray, s
     return na + nb - 2 * np.minimum(na - at, nb - bt) <= _differ(na + nb, similarity)
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables made of whole cells (rows of one token; they come together), and where in the table each cell starts."""
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables made of whole cells (rows of one value of the first column; they come together)."""
     held, rows = [], 0
 
-    def cut(last: bool) -> tuple[pa.Table, np.ndarray]:
+    def cut(last: bool) -> pa.Table:
         nonlocal held, rows
         table = pa.Table.from_batches(held)
-        token = table.column("token").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        end = len(token) if last else int(starts[-1])
-        held, rows = table.slice(end).to_batches(), len(token) - end
-        return table.slice(0, end), starts[starts < end]
+        cell = table.column(0).to_numpy()
+        end = len(cell) if last else int(np.flatnonzero(cell != cell[-1])[-1]) + 1
+        held, rows = table.slice(end).to_batches(), len(cell) - end
+        return table.slice(0, end)
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= CELLS and len(pa.compute.unique(pa.chunked_array([held[0].column(0)[:1], held[-1].column(0)[-1:]]))) > 1:
+            if rows >= CELLS and held[0].column(0)[0] != held[-1].column(0)[-1]:
                 yield cut(False)
     if rows:
         yield cut(True)
 
 
-def _stars(similarity: float):
-    """Rows of cells with two texts or more; rep: the first text of about its length in the cell, null if none may match."""
+def _across(similarity: float):
+    """All pairs of a cell's texts in different groups that may reach the similarity, but for those of one part where
+    `inner` is false (they meet in another cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_cells(batches):
-            if not len(starts):
-                continue
-            cell = np.cumsum(np.bincount(starts, minlength=table.num_rows)) - 1
-            many = np.bincount(cell)[cell] > 1
-            token, nid, n, at = (table.column(c).to_numpy()[many] for c in ("token", "nid", "n", "at"))
-            cell = cell[many]
-            size = np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity)).astype(np.int64)
-            order = np.lexsort((nid, size, cell))
-            token, nid, n, at, cell, size = (x[order] for x in (token, nid, n, at, cell, size))
-            first = np.ones(len(cell), dtype=bool)
-            first[1:] = (cell[1:] != cell[:-1]) | (size[1:] != size[:-1])
-            rep = np.flatnonzero(first)[np.cumsum(first) - 1] if len(cell) else np.zeros(0, np.int64)
-            fits = ~first & _may_match(n, at, n[rep], at[rep], similarity)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (token, nid, n, at)), pa.array(nid[rep], mask=~fits)], names=["token", "nid", "n", "at", "rep"])
+        for table in _whole_cells(batches):
+            cell, nid, n, at, label, part, inner = (table.column(c).to_numpy() for c in ("cell", "nid", "n", "at", "label", "part", "inner"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            # by size within a cell: each text is held against the next one, then the one after that, and so on, as long
+            # as sizes allow
+            rows = np.lexsort((n, cell))
+            first, ahead = np.arange(len(rows)), 0
+            while len(first):
+                ahead += 1
+                first = first[first + ahead < len(rows)]
+                x, y = rows[first], rows[first + ahead]
+                near = (cell[x] == cell[y]) & (n[y] <= n[x] / similarity + 1e-6)
+                first, x, y = first[near], x[near], y[near]
+                ok = (label[x] != label[y]) & ((part[x] != part[y]) | inner[x]) & _may_match(n[y], at[y], n[x], at[x], similarity)
+                x, y = x[ok], y[ok]
+                for lo in range(0, len(x), CELLS):
+                    u, v = x[lo : lo + CELLS], y[lo : lo + CELLS]
+                    ok = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64) <= _differ(n[u] + n[v], similarity)
+                    if ok.any():
+                        u, v = nid[u[ok]], nid[v[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     return run
 
 
-def _across(similarity: float, one: bool):
-    """All pairs of a cell's texts in different groups that may reach the similarity.
-
-    one: only of one text of each group, in cells that hold two texts of any group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_cells(batches):
-            nid, n, at, label = (table.column(c).to_numpy() for c in ("nid", "n", "at", "label"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(nid)], strict=True):
-                rows = np.arange(lo, hi)
-                if one:
-                    rows = rows[np.lexsort((nid[rows], label[rows]))]
-                    head = np.concatenate([[True], label[rows[1:]] != label[rows[:-1]]])
-                    if head.all():
-                        continue
-                    rows = rows[head]
-                rows = rows[np.argsort(n[rows], kind="stable")]
-                upto = np.searchsorted(n[rows], n[rows] / similarity + 1e-6, side="right")
-                out = []
-                for k, x in enumerate(rows.tolist()):
-                    y = rows[k + 1 : upto[k]]
-                    y = y[(label[y] != label[x]) & _may_match(n[y], at[y], n[x], at[x], similarity)]
-                    if len(y):
-                        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= _differ(n[y] + n[x], similarity)]
-                        out.append(np.stack([np.minimum(nid[y], nid[x]), np.maximum(nid[y], nid[x])]))
-                        if sum(o.shape[1] for o in out) > CELLS or len(out) > CELLS:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["a", "b"])
-                            out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["a", "b"])
+def _parted(texts: DataFrame) -> DataFrame:
+    """texts (staged: token, nid, n, at, label) with cell, part and inner: a token of over CROWD texts is many cells.
 
-    return run
+    Texts of one group need not meet each other. So those of a token's largest group are parted, the others are parted,
+    and each part meets the others' parts: a group that holds a third of all texts is sent once for each CROWD of others.
+    """
+    sizes = texts.groupBy("token", "label").count()
+    crowded = sizes.groupBy("token").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("top")).where(F.col("all") > CROWD)
+    crowded = staged(crowded, "crowded")
+    one = F.lit(0).cast("int")
+    plain = texts
+    if few := crowded.limit(1).count():
+        plain = texts.join(crowded.select("token"), "token", "left_anti")
+    plain = plain.withColumns({"cell": F.col("token"), "part": one, "inner": F.lit(True)})
+    if not few:
+        return plain
+    many = lambda c: F.greatest(F.lit(1), F.ceil(c / CROWD)).cast("int")
+    crowded = crowded.select("token", F.col("top.label").alias("most"), many(F.col("top.count")).alias("p"), many(F.col("all") - F.col("top.count")).alias("q"))
+    rows = texts.join(crowded, "token")
+    hash_ = F.xxhash64("nid")
+    own = F.when(F.col("label") == F.col("most"), F.pmod(hash_, "p")).otherwise(F.col("p") + F.pmod(hash_, "q")).cast("int")
+    rows = rows.withColumn("part", own)
+    others = F.sequence(F.when(F.col("part") < F.col("p"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    cell = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    return plain.unionByName(rows.withColumns({"cell": cell, "inner": F.col("part") == F.col("other")}).drop("other", "most", "p", "q"))
 
 
 def _alike(links: DataFrame, prints: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -435,25 +439,25 @@ def _alike(links: DataFrame, prints: DataFrame, rows: DataFrame, words: int, sim
     return staged(checked.mapInArrow(alike, "a long, b long"), "alike")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """key, id, first for each distinct row (id, text) of docs: first is the key of its group's smallest id.
 
     Texts are alike if the sets of their `words`-word shingles have a Jaccard similarity of `similarity` or more; groups
-    are what chains of alike texts connect. Shingles have one order: by hash, but LATE common ones (found in a sample,
-    which decides the order only) come last. Two alike texts share a shingle among the first n - similarity * n + 1 of
-    each (prefix filter), so cells of texts that share one hold all pairs. First each text is checked against one of its
-    cell; then all pairs of a cell that are still in different groups, but for those that sizes, places or parity bits
-    rule out. Groups that are next to each other are tried by one text of each until none unites, so that large groups
-    don't make all their pairs. Every link is checked on the whole texts, and nothing is pruned unchecked. key is made of id and text, so
+    are what chains of alike texts connect. Candidates come from the SimHash fingerprints of the sets, through BK-trees;
+    each is checked on the whole texts. 64 bits lose pairs near the similarity, so what they leave apart is completed:
+    shingles have one order, by hash, but LATE common ones (found in a sample, which decides the order only) come last;
+    two alike texts share one among the first n - similarity * n + 1 of each (prefix filter), so cells of texts that
+    share one hold all pairs. First groups that are next to each other in a cell are tried by one text of each until none
+    unites; then all pairs of a cell that are still in different groups, but for those that sizes, places or parity bits
+    rule out. Nothing is pruned unchecked, and texts of one group are not paired. key is made of id and text, so
     identifiers that repeat with other texts don't mix; null ids and texts count as empty.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [_prefix(h, h[:0], similarity) for h in _sets(batch.column(0).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
 
@@ -464,9 +468,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(_sets(batch.column(2).to_pylist(), words))
-            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary())]
+            fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
+            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary()), pa.array(fps)]
             tokens = pa.array([_prefix(h, late, similarity).tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, tokens], names=["key", "id", "n", "bits", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, tokens], names=["key", "id", "n", "bits", "fp", "tokens"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -478,18 +483,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [np.concatenate(found), *[np.repeat(batch.column(k).to_numpy(), count) for k in (0, 1)], at]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "nid", "n", "at"])
 
-    prints = rows.mapInArrow(sketch, f"key string, id {id_type}, n long, bits binary, tokens binary")
+    prints = rows.mapInArrow(sketch, f"key string, id {id_type}, n long, bits binary, fp long, tokens binary")
     prints = staged(prints.withColumn("nid", F.monotonically_increasing_id()), "prints")
     once = staged(prints.groupBy("key", "id").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("size")), "once")
     if once.where("size > 1").limit(1).count():
         prints = staged(prints.join(once.select("nid"), "nid", "left_semi"), "prints")
-    cells = prints.select("nid", "n", "tokens").mapInArrow(entries, "token long, nid long, n long, at long")
-    cells = cells.repartition("token").sortWithinPartitions("token")
-    cells = staged(cells.mapInArrow(_stars(similarity), "token long, nid long, n long, at long, rep long"), "cells")
-    links = cells.where("rep IS NOT NULL").select(F.least("nid", "rep").alias("a"), F.greatest("nid", "rep").alias("b"))
-    links = staged(links.distinct(), "candidates")
+
+    # links within the radius between fingerprints, and of one fingerprint's texts with the first of them
+    nodes = staged(prints.groupBy("fp").agg(F.min("nid").alias("node"), F.count(F.lit(1)).alias("size")), "nodes")
+    ends = [nodes.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab"]
+    across = near_links(nodes.select("fp"), radius, real=True).join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    within = join_hot(prints.select("fp", "nid"), nodes, ["fp"], "size").where("nid <> node").select(F.col("node").alias("a"), F.col("nid").alias("b"))
+    links = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within).distinct()
+    links = staged(links, "candidates")
     alike = _alike(links, prints, rows, words, similarity)
-    cells, one = cells.drop("rep"), True
+
+    cells = prints.select("nid", "n", "tokens").mapInArrow(entries, "token long, nid long, n long, at long")
+    shared = staged(cells.groupBy("token").count().where("count > 1").select("token"), "tokens")
+    cells, one = staged(cells.join(shared, "token", "left_semi"), "cells"), True
     while True:
         labels = components(alike)
         apart = cells.join(labels.withColumnRenamed("node", "nid"), "nid", "left")
@@ -497,8 +508,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = apart.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         apart = staged(apart.join(mixed, "token", "left_semi"), "mixed")
         cells = apart.drop("label")  # groups only grow, so a cell within one group stays so
-        apart = apart.join(prints.select("nid", "bits"), "nid").repartition("token").sortWithinPartitions("token")
-        more = apart.select("token", "nid", "n", "at", "label", "bits").mapInArrow(_across(similarity, one), "a long, b long").distinct()
+        if one:
+            apart = apart.groupBy("token", "label").agg(F.min(F.struct("nid", "n", "at")).alias("r")).select("token", "r.nid", "r.n", "r.at", "label")
+            apart = staged(apart, "ones")
+        met = _parted(apart).join(prints.select("nid", "bits"), "nid").repartition("cell").sortWithinPartitions("cell")
+        more = met.select("cell", "nid", "n", "at", "label", "part", "inner", "bits").mapInArrow(_across(similarity), "a long, b long").distinct()
         more = staged(more.join(links, ["a", "b"], "left_anti"), "candidates")
         found = _alike(more, prints, rows, words, similarity)
         alike, links = alike.unionByName(found), links.unionByName(more)
