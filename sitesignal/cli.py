@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from collections.abc import Callable
 from datetime import date
 from pathlib import Path
 
@@ -49,13 +50,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--unmatched", action="store_true")
     c.add_argument("--top", type=int, default=50)
     c = sub.add_parser("asr", help="registrations and their matches")
-    c.add_argument("--archive", help="the registration archive; by default <data>/asr/r_tower.zip")
+    c.add_argument("--archive", help="a registration archive; by default <data>/asr/r_tower.zip, fetched when it is missing or a week old")
+    c.add_argument("--force", action="store_true", help="fetch it anyway")
     sub.add_parser("enrich", help="cases with all derived columns")
     c = sub.add_parser("features", help="weekly and quarterly panels")
     c.add_argument("--start", type=date.fromisoformat)
     c.add_argument("--prior-lookback-days", type=int)
     c = sub.add_parser("truth", help="KPI series")
-    c.add_argument("--kpis", nargs="*", default=[])
+    c.add_argument("--kpis", nargs="*", default=[], help="KPI files; several are merged into <data>/truth/kpis.csv")
+    c.add_argument("--no-capex", action="store_true", help="leave the companies' facts out")
+    c.add_argument("--refresh", action="store_true", help="fetch the facts anew")
     c = sub.add_parser("backtest", help="lead-lag and forecasts")
     c.add_argument("--start", type=quarter)
     c.add_argument("--end", type=quarter)
@@ -65,7 +69,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, source: client.Source | None = None, today: date | None = None) -> int:
+def fetched(url: str) -> tuple[int, bytes]:
+    """The status and body of a regulator's answer; SITESIGNAL_AGENT names who asks."""
+    try:
+        return 200, client.fetch_url(url, 300.0, os.environ.get("SITESIGNAL_AGENT", "sitesignal/0.1 (research)"))
+    except client.HttpStatus as e:
+        return e.status, b""
+
+
+def main(argv: list[str] | None = None, source: client.Source | None = None, today: date | None = None, answer: Callable[[str], tuple[int, bytes]] = fetched) -> int:
     a = parser().parse_args(argv)
     spark = build_session()
     spark.sparkContext.setLogLevel("INFO" if a.verbose else "ERROR")
@@ -73,6 +85,12 @@ def main(argv: list[str] | None = None, source: client.Source | None = None, tod
     store, landing = Store(spark, f"file://{root}/tables"), client.Landing(root)
     rule_set = rules.RuleSet.load()
 
+    def fetch(url: str) -> bytes:
+        status, body = answer(url)
+        if status >= 400:
+            raise OSError(f"HTTP {status} for {url}")
+        return body
+
     def snapshots(paths: list[Path], first: int) -> DataFrame:
         """The cases of raw answers with asof, the day in their path, and batch_seq: the number, in the log, of their file."""
         days = [next(x for x in p.parts if x.startswith("asof=")).removeprefix("asof=") for p in paths]
@@ -116,16 +134,31 @@ def main(argv: list[str] | None = None, source: client.Source | None = None, tod
         if a.unmatched:
             rules.unmatched(named, a.top).show(a.top, False)
     elif a.command == "asr":
-        folder = files.unpack(Path(a.archive or root / "asr/r_tower.zip"), root / "asr/records")
+        members = tuple(f"{r}.dat" for r in files.RECORDS)
+        archive = Path(a.archive) if a.archive else files.download(files.REGISTRY_URL, root / "asr/r_tower.zip", fetch, force=a.force, members=members)
+        folder = files.unpack(archive, root / "asr/records")
         pipeline.match(store, files.read_registrations(spark, f"file://{folder}"), rule_set).groupBy("match_method").count().show()
     elif a.command == "enrich":
         pipeline.enrich(store, rule_set).where("is_tower_signal").groupBy("build_kind", "build_kind_basis").count().show()
     elif a.command == "features":
         pipeline.build_features(store, a.start, lookback_days=a.prior_lookback_days)
     elif a.command == "truth":
+        kpis = facts = None
         if a.kpis:
-            store.write("truth", files.read_kpis(spark, [f"file://{Path(k).resolve()}" for k in a.kpis]).select(*truth.COLUMNS))
-        truth.coverage_table(store.read("truth")).orderBy("entity", "metric").show(100, False)
+            merged = root / "truth/kpis.csv"
+            merged.parent.mkdir(parents=True, exist_ok=True)
+            files.write_kpis(truth.merge_kpis(files.read_kpi_parts(spark, [f"file://{Path(k).resolve()}" for k in a.kpis])), merged, files.KPI_NOTE)
+            kpis = files.read_kpis(spark, f"file://{merged}")
+        if not a.no_capex:
+            try:
+                facts = files.company_facts(spark, root / "truth", answer, a.refresh)
+            except files.Refused as e:
+                print(f"capital expenditure is left out: {e}")
+        figures = pipeline.load_truth(store, kpis, facts)
+        if figures is None:
+            print("no figures")
+        else:
+            truth.coverage_table(figures).orderBy("entity", "metric").show(100, False)
     elif a.command == "backtest":
         tables = pipeline.run_backtest(store, start=a.start, end=a.end, least=a.min_train)
         tables["oos"].orderBy("key").show(100, False)

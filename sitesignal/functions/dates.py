@@ -29,6 +29,11 @@ def grid(lo: Column, hi: Column, freq: str) -> Column:
     return F.sequence(lo, hi, step)
 
 
+def month_label(c: Column) -> Column:
+    """'2024-07'."""
+    return F.date_format(c, "yyyy-MM")
+
+
 def half_label(d: Column) -> Column:
     """2025H1"""
     return F.concat(F.year(d).cast("string"), F.lit("H"), F.when(F.month(d) > 6, F.lit("2")).otherwise(F.lit("1")))

@@ -60,7 +60,8 @@ def filer_shift(cases: DataFrame, owner: str, since: Column, halves: Sequence[st
     """Filings on structures of one owner: filers by half-year. Filers with most filings come first, then by name."""
     d = cases.where((F.col("asr_owner_entity") == owner) & (F.col("date_entered") >= since)).withColumn("half", half_label(F.col("date_entered")))
     wide = d.groupBy(F.coalesce("entity", F.lit("<unattributed>")).alias("entity")).pivot("half", list(halves)).count().fillna(0)
-    return wide.orderBy(F.desc(sum((F.col(h) for h in halves), F.lit(0))), "entity")
+    total = F.aggregate(F.array(F.lit(0).cast("long"), *halves), F.lit(0).cast("long"), lambda x, y: x + y)
+    return wide.withColumn("all_", total).orderBy(F.desc("all_"), "entity").drop("all_")
 
 
 def followups(cases: DataFrame, entity: str, base: tuple[Column, Column], after: Column) -> DataFrame:

@@ -58,6 +58,13 @@ def in_millions(c: Column) -> Column:
     return F.round(c / 1e6, 1)
 
 
+def capex(facts: DataFrame, members: int = 3, total: str = "VZ+T+TMUS") -> DataFrame:
+    """COLUMNS and filed: quarterly expenditure in millions of each entity of facts, and of all of them together."""
+    each = quarterly(first_filed(facts, ["entity"]), ["entity"]).withColumn("value", in_millions(F.col("value"))).select("period", "entity", "value", "filed")
+    rows = each.unionByName(sum_when_complete(each, members, total))
+    return rows.withColumns({"metric": F.lit("capex_usd_m"), "unit": F.lit("usd_m"), "source": F.lit("sec_xbrl")})
+
+
 def kpi_series(truth: DataFrame, entity: str, metric: str) -> DataFrame:
     return truth.where((F.col("entity") == entity) & (F.col("metric") == metric)).select("period", "value", "unit")
 

@@ -58,12 +58,9 @@ def panel_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(spark, sf_dir, "Q").withColumn("n_hw", F.round("n_hw", 4))
 
 
-@query(f"{_PANEL_W} SELECT {_COLUMNS} FROM panel WHERE period >= DATE '1996-01-01'")
+@query(f"{_PANEL_W} SELECT {_COLUMNS} FROM panel")
 def panel_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from datetime import date
-
-    p = features.panel(_prepared(spark, sf_dir), _daily(spark, sf_dir), "W", start=date(1996, 1, 1))
-    return p.withColumn("n_hw", F.round("n_hw", 4))
+    return _panel(spark, sf_dir, "W").withColumn("n_hw", F.round("n_hw", 4))
 
 
 @query()
@@ -104,16 +101,15 @@ _BUILD = reports.BUILD_KINDS
 
 
 @query(
-    f"""WITH {s.ENRICHED_SQL}, t AS (SELECT * FROM enriched WHERE is_tower_signal), a AS (SELECT year(date_entered) AS year, count(*) FILTER (WHERE pit_kind = 'modification') AS modification, count(*) FILTER (WHERE pit_kind = 'new_or_unknown') AS new_or_unknown FROM t WHERE asn % 5 <> 2 OR year(date_entered) <> 1999 GROUP BY 1),
+    f"""WITH {s.ENRICHED_SQL}, t AS (SELECT * FROM enriched WHERE is_tower_signal), a AS (SELECT year(date_entered) AS year, count(*) FILTER (WHERE pit_kind = 'modification') AS modification, count(*) FILTER (WHERE pit_kind = 'new_or_unknown') AS new_or_unknown FROM t GROUP BY 1),
     b AS (SELECT year(date_entered) AS year, """
     + ", ".join(f"count(*) FILTER (WHERE build_kind = '{k}') AS hs_{k}" for k in _BUILD)
-    + " FROM t WHERE asn % 5 <> 2 OR year(date_entered) <> 1999 GROUP BY 1) SELECT CAST(coalesce(a.year, b.year) AS INT) AS year, coalesce(modification, 0) AS modification, coalesce(new_or_unknown, 0) AS new_or_unknown, "
+    + " FROM t GROUP BY 1) SELECT CAST(coalesce(a.year, b.year) AS INT) AS year, coalesce(modification, 0) AS modification, coalesce(new_or_unknown, 0) AS new_or_unknown, "
     + ", ".join(f"coalesce(hs_{k}, 0) AS hs_{k}" for k in _BUILD)
     + " FROM a FULL JOIN b ON a.year = b.year"
 )
 def kind_counts_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _prepared(spark, sf_dir).where("asn % 5 <> 2 OR year(date_entered) <> 1999")
-    return features.kind_counts(t, ["modification", "new_or_unknown"], list(_BUILD))
+    return features.kind_counts(_prepared(spark, sf_dir), ["modification", "new_or_unknown"], list(_BUILD))
 
 
 @query(
@@ -145,10 +141,10 @@ def quarter_from_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.quarterly(truth.first_filed(s.facts(spark, sf_dir), ["entity"]), ["entity"]).withColumn("value", F.round("value", 2))
 
 
-@query(f"WITH {_QUARTERLY} SELECT period, 'sum' AS entity, round(sum(value), 1) AS value, max(filed) AS filed FROM quarters WHERE entity <> 'N' OR year(period) <> 1997 GROUP BY period HAVING count(*) = 3")
+@query(f"WITH {_QUARTERLY} SELECT period, 'sum' AS entity, round(sum(value), 1) AS value, max(filed) AS filed FROM quarters GROUP BY period HAVING count(*) = 3")
 def sum_when_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = truth.quarterly(truth.first_filed(s.facts(spark, sf_dir), ["entity"]), ["entity"])
-    return truth.sum_when_complete(q.where("entity <> 'N' OR year(period) <> 1997"), 3, "sum").withColumn("value", F.round("value", 1))
+    return truth.sum_when_complete(q, 3, "sum").withColumn("value", F.round("value", 1))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,15 +160,14 @@ def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signal of all filings against each flag's KPI; the signal lacks its first year."""
-    c = s.cases(spark, sf_dir).where("date_entered >= '1996-01-01'")
-    counts = c.groupBy(F.trunc("date_entered", "QUARTER").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    """The signal of all filings against each flag's KPI."""
+    counts = s.cases(spark, sf_dir).groupBy(F.trunc("date_entered", "QUARTER").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     keys = F.array(*[F.lit(k) for k in "ANR"])
     t = _truth(spark, sf_dir)
     return backtest.aligned(counts.select(F.explode(keys).alias("key"), "period", "value"), t.select(F.col("entity").alias("key"), "period", "value", "unit"))
 
 
-_ALIGNED = f"""{s.CASES_SQL}, {_TRUTH}, sg AS (SELECT CAST(date_trunc('quarter', date_entered) AS DATE) AS period, CAST(count(*) AS DOUBLE) AS s FROM cases WHERE date_entered >= DATE '1996-01-01' GROUP BY 1),
+_ALIGNED = f"""{s.CASES_SQL}, {_TRUTH}, sg AS (SELECT CAST(date_trunc('quarter', date_entered) AS DATE) AS period, CAST(count(*) AS DOUBLE) AS s FROM cases GROUP BY 1),
     gr AS (SELECT key, CAST(unnest(generate_series(least((SELECT min(period) FROM sg), (SELECT min(period) FROM truth WHERE entity = key)), greatest((SELECT max(period) FROM sg), (SELECT max(period) FROM truth WHERE entity = key)), INTERVAL 3 MONTH)) AS DATE) AS period FROM (SELECT unnest(['A', 'N', 'R']) AS key)),
     al AS (SELECT gr.key, gr.period, s, truth.value AS k, u.unit FROM gr LEFT JOIN sg USING (period) LEFT JOIN truth ON truth.entity = gr.key AND truth.period = gr.period JOIN (SELECT DISTINCT entity, unit FROM truth) u ON u.entity = gr.key),
     data AS (SELECT key, period, s, k, ln(s + 1) - lag(ln(s + 1), 4) OVER w AS x, CASE unit WHEN 'pct' THEN k - lag(k, 4) OVER w WHEN 'sites' THEN ln(k + 1) - lag(ln(k + 1), 4) OVER w ELSE ln(k) - lag(ln(k), 4) OVER w END AS y, ln(s + 1) AS x_level, k AS y_level
@@ -226,11 +221,23 @@ def nowcast_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(scored, 4, "rmse_signal", "rmse_last", "rmse_last_year"), 6, "ratio_vs_last", "ratio_vs_last_year")
 
 
-@query()
+@query(
+    f"""WITH {_ALIGNED}, nl AS (SELECT unnest(['A', 'N', 'R']) AS key, unnest([2, 1, 3]) AS lead), nm AS (SELECT key, CAST(period + to_months(3 * lead) AS DATE) AS period, x AS xl FROM data JOIN nl USING (key)),
+    n0 AS (SELECT d.key, d.period, d.y, nm.xl, lag(d.y) OVER (PARTITION BY d.key ORDER BY d.period) AS y1 FROM data d LEFT JOIN nm ON d.key = nm.key AND d.period = nm.period),
+    n1 AS (SELECT *, y IS NOT NULL AND xl IS NOT NULL AS known, y IS NOT NULL AND xl IS NOT NULL AND y1 IS NOT NULL AS lagged FROM n0),
+    n2 AS (SELECT *, count(*) FILTER (WHERE known) OVER p AS n_train, count(*) FILTER (WHERE lagged) OVER p AS n_auto,
+        avg(y) FILTER (WHERE known) OVER p AS ky, avg(xl) FILTER (WHERE known) OVER p AS kx, covar_pop(y, xl) FILTER (WHERE known) OVER p / var_pop(xl) FILTER (WHERE known) OVER p AS ks,
+        avg(y) FILTER (WHERE lagged) OVER p AS my, avg(y1) FILTER (WHERE lagged) OVER p AS ma, avg(xl) FILTER (WHERE lagged) OVER p AS mb, var_pop(y1) FILTER (WHERE lagged) OVER p AS aa, var_pop(xl) FILTER (WHERE lagged) OVER p AS bb,
+        covar_pop(y1, xl) FILTER (WHERE lagged) OVER p AS ab, covar_pop(y, y1) FILTER (WHERE lagged) OVER p AS ay, covar_pop(y, xl) FILTER (WHERE lagged) OVER p AS by_
+        FROM n1 WINDOW p AS (PARTITION BY key ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT key, period, round(y, 4) AS actual, round(ky + ks * (xl - kx), 4) AS signal, round(y1, 4) AS last, 0e0 AS last_year, round(CASE WHEN n_auto >= 8 AND y1 IS NOT NULL THEN my + ay / aa * (y1 - ma) END, 4) AS ar1,
+        round(CASE WHEN n_auto >= 8 AND y1 IS NOT NULL THEN my + (ay * bb - by_ * ab) / (aa * bb - ab * ab) * (y1 - ma) + (by_ * aa - ay * ab) / (aa * bb - ab * ab) * (xl - mb) END, 4) AS ar1_signal, n_train
+    FROM n2 WHERE known AND n_train >= 8"""
+)
 def nowcast_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five models; two-regressor least squares is held against a direct solution in the tests."""
+    """All five models; the tests hold them against direct solutions, those without spread as well."""
     leads = spark.createDataFrame([("A", 2), ("N", 1), ("R", 3)], "key string, lead int")
-    return backtest.nowcast(_aligned(spark, sf_dir), leads)
+    return _rounded(backtest.nowcast(_aligned(spark, sf_dir), leads), 4, "actual", "signal", "last", "ar1", "ar1_signal")
 
 
 @query()

@@ -38,9 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, on a local
+    master only (tests): executors elsewhere could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         folder = f"file://{tempfile.mkdtemp(prefix='sitesignal-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

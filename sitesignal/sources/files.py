@@ -76,6 +76,7 @@ def read_registrations(spark: SparkSession, folder: str) -> DataFrame:
     return parse_registrations(*[read_record(spark, f"{folder}/{r}.dat", r) for r in ("RA", "CO", "EN", "HS")])
 
 
+KPI_NOTE = "# Figures from releases, merged; the first of equal quarter, entity and metric stays. Missing quarters are absent.\n"
 KPI_SCHEMA = "quarter string, entity string, metric string, value double, unit string, source_url string, note string"
 
 
@@ -105,6 +106,16 @@ def write_kpis(df: DataFrame, dest: Path, header: str) -> None:
         out.writerows(df.orderBy("entity", "metric", "quarter").collect())
 
 
+# The regulator's services, and by company the number it files under and the concepts of its capital
+# expenditure, best first; one counts from the date beside it on.
+FACTS_URL = "https://data.sec.gov/api/xbrl/companyfacts/CIK{cik}.json"
+REGISTRY_URL = "https://data.fcc.gov/download/pub/uls/complete/r_tower.zip"
+CAPEX = {
+    "VZ": ("0000732712", [("PaymentsToAcquirePropertyPlantAndEquipment", None), ("PaymentsToAcquireProductiveAssets", None), ("PaymentsToAcquireOtherProductiveAssets", date(2017, 1, 1))]),
+    "T": ("0000732717", [("PaymentsToAcquirePropertyPlantAndEquipment", None), ("PaymentsToAcquireProductiveAssets", None)]),
+    "TMUS": ("0001283699", [("PaymentsToAcquirePropertyPlantAndEquipment", None)]),
+}
+
 FACT = T.StructType([
     T.StructField("start", T.StringType()), T.StructField("end", T.StringType()), T.StructField("val", T.DoubleType()),
     T.StructField("filed", T.StringType()), T.StructField("form", T.StringType()),
@@ -142,6 +153,16 @@ def cached_facts(url: str, dest: Path, fetch: Callable[[str], tuple[int, bytes]]
     return json.loads(body)
 
 
+def company_facts(spark: SparkSession, folder: Path, fetch: Callable[[str], tuple[int, bytes]], refresh: bool = False) -> DataFrame:
+    """read_facts of all companies in CAPEX, from files in folder that are fetched where they are missing or old."""
+    paths = {}
+    for entity, (cik, _) in CAPEX.items():
+        dest = folder / f"companyfacts_CIK{cik}.json"
+        cached_facts(FACTS_URL.format(cik=cik), dest, fetch, refresh=refresh)
+        paths[entity] = f"file://{dest}"
+    return read_facts(spark, paths, {e: concepts for e, (_, concepts) in CAPEX.items()})
+
+
 def last_line_wins(df: DataFrame, keys: list[str]) -> DataFrame:
     """The last row in file order of each key."""
     last = Window.partitionBy(*keys).orderBy(F.desc("line"))

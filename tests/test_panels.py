@@ -89,3 +89,10 @@ def test_project_ids_are_cases(spark):
     df = spark.createDataFrame(cases(200), SCHEMA).withColumn("project_key", F.coalesce("entity", "sponsor_norm"))
     p = assign_projects(df)
     assert p.count() == 200 and p.join(df.select(F.col("asn").alias("project_id")), "project_id", "left_anti").count() == 0
+
+
+def test_kinds_of_one_side_only(spark):
+    rows = [(dt.date(1999, 3, 1), None, "new_build"), (dt.date(2000, 3, 1), "modification", None), (dt.date(2001, 3, 1), "modification", "new_build")]
+    df = spark.createDataFrame(rows, "date_entered date, pit_kind string, build_kind string")
+    got = {r.year: (r.modification, r.hs_new_build) for r in features.kind_counts(df, ["modification"], ["new_build"]).collect()}
+    assert got == {1999: (0, 1), 2000: (1, 0), 2001: (1, 1)}

@@ -251,3 +251,49 @@ def test_facts_and_kpis(spark, tmp_path):
     assert files.cached_facts("u", dest, lambda u: (200, b"{}")) == {} and files.cached_facts("u", dest, lambda u: (403, b"")) == {}
     files.write_kpis(files.read_kpis(spark, f"file://{kpis}").drop("period", "source"), tmp_path / "o.csv", "# h\n")
     assert Path(tmp_path / "o.csv").read_text().startswith("# h\nquarter,entity")
+
+
+def test_figures_from_facts_and_files(spark, tmp_path, capsys):
+    import json
+
+    quarters = [("01-01", "03-31", 1), ("01-01", "06-30", 2), ("01-01", "09-30", 3), ("01-01", "12-31", 4)]
+    facts = lambda k: json.dumps({"facts": {"us-gaap": {"PaymentsToAcquirePropertyPlantAndEquipment": {"units": {"USD": [{"start": f"2020-{a}", "end": f"2020-{b}", "val": k * n * 1e6, "filed": f"2020-{b}", "form": "10-Q"} for a, b, n in quarters]}}}}}).encode()
+    ciks = {cik: k for k, (cik, _) in enumerate(files.CAPEX.values(), 1)}
+    asked = []
+
+    def answer(url):
+        asked.append(url)
+        return 200, facts(next(k for cik, k in ciks.items() if cik in url))
+
+    for name, value in (("a", 1.5), ("b", 9.0)):
+        (tmp_path / f"{name}.csv").write_text(f"# c\nquarter,entity,metric,value,unit,source_url,note\n2019Q3,AMT,m,{value},pct,http://x,n\n")
+    root = ["--data-dir", str(tmp_path), "truth"]
+    assert cli.main([*root, "--kpis", str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], answer=answer) == 0
+    store = state.Store(spark, f"file://{tmp_path}/tables")
+    got = {(r.entity, r.metric, str(r.period)): r.value for r in store.read("truth").collect()}
+    assert got["AMT", "m", "2019-07-01"] == 1.5 and got["VZ+T+TMUS", "capex_usd_m", "2020-10-01"] == 6.0 and got["T", "capex_usd_m", "2020-04-01"] == 2.0
+    assert len(got) == 1 + 4 * 4 and len(asked) == 3
+    # refused: what is stored stays; files that are young are not fetched again
+    assert cli.main(root, answer=lambda u: (403, b"")) == 0 and len(asked) == 3 and store.read("truth").count() == 17
+    assert cli.main([*root, "--refresh"], answer=lambda u: (403, b"")) == 0 and store.read("truth").count() == 17
+    assert "left out" in capsys.readouterr().out
+
+
+def test_registry_is_fetched(spark, tmp_path):
+    import io
+    import zipfile
+
+    asked = []
+
+    def answer(url):
+        asked.append(url)
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as z:
+            for r in files.RECORDS:
+                z.writestr(f"{r}.dat", "")
+        return 200, body.getvalue()
+
+    state.Store(spark, f"file://{tmp_path}/tables").write("cases", case_xml.empty_cases(spark))
+    for force in ([], [], ["--force"]):
+        assert cli.main(["--data-dir", str(tmp_path), "asr", *force], answer=answer) == 0
+    assert asked == [files.REGISTRY_URL] * 2
