@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,6 +22,24 @@ def weekly(events: DataFrame, *keys: str, ts: str = "ts", late: str = LATE) -> D
     return counted.select(F.col("w.start").cast("date").alias("week"), *keys, "n")
 
 
+def changes(counts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes the rows that each micro-batch has changed to a folder of its own; one that is repeated replaces its folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The last state of each key in a folder that `changes` writes."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = F.max_by(F.struct(*rest), "batch").alias("r")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[f"r.{c}" for c in rest])
+
+
 def upserts(snapshots: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Folds a stream of snapshots (cases with asof and batch_seq) into the store's cases and case_history.
 

@@ -297,3 +297,15 @@ def test_registry_is_fetched(spark, tmp_path):
     for force in ([], [], ["--force"]):
         assert cli.main(["--data-dir", str(tmp_path), "asr", *force], answer=answer) == 0
     assert asked == [files.REGISTRY_URL] * 2
+
+
+def test_late_events_of_a_stream(spark, tmp_path):
+    batches = [[("2024-12-02", "a"), ("2024-12-03", "a")], [("2024-11-30", "a"), ("2024-12-08", "b"), ("2024-01-05", "a")], [("2024-12-04", "a"), ("2024-01-06", "b")]]
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame([(dt.datetime.fromisoformat(day), kind) for day, kind in rows], "ts timestamp, kind string")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+        upserts.changes(upserts.weekly(stream, "kind"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = {(str(r.week), r.kind): r.n for r in upserts.latest(spark, f"file://{tmp_path}/out", "week", "kind").collect()}
+    # late by some days: counted; by more than the watermark: not
+    assert got == {("2024-12-02", "a"): 3, ("2024-12-02", "b"): 1, ("2024-11-25", "a"): 1}
