@@ -20,7 +20,8 @@ from sitesignal.llm.common import staged
 
 #: Turns in a stretch.
 STRETCH = 256
-#: Shortest normalised piece that links; shorter ones (a bare "yes") say nothing about where they come from.
+#: Shortest normalised line that links; a shorter one (a bare "yes") says nothing about where it comes from, unless it is
+#: all that a message says.
 LEAST = 12
 QUOTED = r"^[ \t]*((?:>[ \t]?)+)"
 #: Lines by which mail programs introduce a quote.
@@ -51,13 +52,17 @@ def own_text(lines: Column) -> Column:
 
 
 def _pieces(df: DataFrame, text: str) -> DataFrame:
-    """df with piece and weight for each whole text and each line of column text that is long enough."""
-    pieces = F.array_distinct(F.concat(F.array(normalised(F.col(text))), F.transform(F.split(text, "\n"), normalised)))
+    """df with piece and weight for each whole text of column text, and each of its lines that is long enough. A short
+    whole text is marked, so that it is equal to short whole texts only."""
+    whole = normalised(F.col(text))
+    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: F.length(x) >= LEAST)
+    long = F.filter(F.array(whole), lambda x: F.length(x) >= LEAST)
+    pieces = F.array_distinct(F.concat(long, lines))
+    short = F.when((F.length(whole) > 0) & (F.length(whole) < LEAST), F.array(F.concat(F.lit("\x01"), whole)))
     return (
-        df.withColumn("said", F.explode(pieces))
-        .where(F.length("said") >= LEAST)
+        df.withColumn("said", F.explode(F.concat(pieces, F.coalesce(short, F.array().cast("array<string>")))))
         .withColumn("piece", F.sha2("said", 256))
-        .withColumn("weight", F.length("said").cast("long"))
+        .withColumn("weight", F.length(F.ltrim("said", F.lit("\x01"))).cast("long"))
         .drop("said", text)
     )
 
@@ -161,8 +166,8 @@ def link_quotations(
     tells that a quote, not the turn before, chose the parent. A null text is empty, a null role is 'user'. Turns are
     whole numbers. A row without conversation or turn stands alone: branch and parent are null, position is 1. Rows that
     repeat conversation and turn share parent, branch and position; all of them count as what that turn says. A quote
-    of nothing earlier, or of fewer than LEAST characters, links nothing. An empty table gives an empty result. Other
-    columns are not read.
+    of nothing earlier links nothing; one of fewer than LEAST characters links to a message that says just that. Texts are
+    taken whole, however long. An empty table gives an empty result. Other columns are not read.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"),

@@ -68,6 +68,8 @@ def test_quotes_against_sql(spark, monkeypatch):
         said = []
         for t in range(rng.randrange(1, 14)):
             own = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(6)) for _ in range(rng.randrange(0, 4))]
+            if rng.random() < 0.2:
+                own = [rng.choice(["yes", "No", "friday 3pm"])]
             quoted = []
             if said and rng.random() < 0.6:
                 o = rng.choice(said)
@@ -84,6 +86,22 @@ def test_quotes_against_sql(spark, monkeypatch):
     assert plain(got) == plain(want) and got.linked.sum() > 20 and (got.branch != 0).sum() > 20
 
 
+def test_short_quotes(spark):
+    """A short quote links to a message that says just that, not to one of whose lines it is."""
+    rows = [(1, 0, "user", "Friday 3pm"), (1, 1, "user", "no\nand some more words"), (1, 2, "user", "that is a long enough line"), (1, 3, "user", "> friday  3pm\nfine"), (1, 4, "user", "> no\nwhy?"), (2, 0, "user", "a"), (2, 1, "user", "a"), (2, 2, "user", None), (2, 3, "user", ">\n> a\nb")]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.linked) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == (0, True) and got[1, 4] == (3, False) and got[2, 3] == (1, True)
+
+
+def test_repeated_turns_and_long_texts(spark):
+    long = "word " * 200_000 + "end of it all"
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 1, "assistant", "an answer of some length"), (1, 1, "assistant", "another answer, to the same"), (1, 2, "user", "> another answer, to the same\nthanks"), (1, 3, "user", "> " + long + "\nagain")]
+    out = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.turn, r.text[:20]): (r.parent_turn, r.linked, r.branch, r.position) for r in out}
+    assert len(out) == 6 and got[2, "thanks"][:2] == (1, True) and got[3, "again"][:2] == (0, True)
+    assert got[1, "an answer of some le"] == got[1, "another answer, to t"]
+
+
 def test_conversation_with_a_fork(spark):
     first, second = "the first message of all, rather long", "a second message, that is long as well"
     rows = [(1, 0, "user", first), (1, 1, "assistant", second), (1, 2, "user", f"On Mon Ann wrote:\n> {first}\nI answer the first"), (1, 3, "user", f"> {second.upper()}\n>> {first}\nand I the second"), (1, 4, "user", "> yes\nno quote of worth"), (None, 4, "user", "x"), (2, None, None, None)]
