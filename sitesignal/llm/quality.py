@@ -212,7 +212,9 @@ def train(
     known = known.select(F.col(id_col).alias("__label_id"), (F.col(label_col) > 0.5).cast("int").alias("__y"))
     some = known.orderBy(F.xxhash64("__label_id"), "__label_id", "__y").limit(max_train)
     rows = docs.select(id_col, text_col).join(F.broadcast(some), F.col(id_col) == F.col("__label_id"))  # max_train rows
-    got = _feature_rows(rows.select("__y", text_col), id_col, text_col, ["__y"]).toArrow()
+    rows = rows.select("__y", F.xxhash64("__label_id").alias("__h"), text_col)
+    # identifiers may repeat in docs as well: max_train rows reach the driver in any case
+    got = _feature_rows(rows, id_col, text_col, ["__y", "__h"]).orderBy("__h", "__y", "x").limit(max_train).toArrow()
     y = got.column("__y").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0)
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(got.num_rows, len(FEATURES))
     order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # rows come in any order
