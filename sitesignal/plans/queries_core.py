@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesignal.functions import text
-from sitesignal.functions.geo import haversine_m
+from sitesignal.functions.geo import EARTH_RADIUS_M, cell_degrees, haversine_m
 from sitesignal.operators import buildkind, coverage, projects, registry, rules, spatial, state
 from sitesignal.plans import standins as s
 from sitesignal.plans.register import Register
@@ -348,9 +348,22 @@ def pit_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buildkind.pit_kind(_known(spark, sf_dir))
 
 
-@query()
+_HIGH, _WIDE = cell_degrees(projects.RADIUS_M)
+_FAR = f"2 * {EARTH_RADIUS_M} * asin(sqrt(least(1e0, pow(sin((x.phi - me.phi) / 2), 2) + cos(me.phi) * cos(x.phi) * pow(sin((x.lam - me.lam) / 2), 2))))"
+_ME = "{'asn': u.asn, 'day': u.day, 'line': u.line, 'col': u.col, 'phi': u.phi, 'lam': u.lam, 'k': u.k}"
+
+
+@query(
+    f"""WITH RECURSIVE {s.CASES_SQL}, u AS (SELECT asn, custkey % 40 AS pk, date_diff('day', DATE '1970-01-01', date_entered) AS day, floor(latitude / {_HIGH!r}) AS line, floor(longitude / {_WIDE!r}) AS col, radians(latitude) AS phi, radians(longitude) AS lam,
+        row_number() OVER (PARTITION BY custkey % 40 ORDER BY date_entered, asn) AS k FROM cases WHERE custkey IS NOT NULL AND date_entered IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+    g AS (SELECT pk, k, asn, asn AS pid, [{_ME}] AS open FROM u WHERE k = 1
+        UNION ALL SELECT pk, k, asn, coalesce(best.asn, asn), CASE WHEN best IS NULL THEN list_append(fresh, me) ELSE fresh END FROM (
+            SELECT pk, k, asn, me, fresh, list_sort(list_transform(list_filter(fresh, lambda x: abs(x.line - me.line) <= 1 AND abs(x.col - me.col) <= 1 AND {_FAR} <= {projects.RADIUS_M}), lambda x: {{'far': {_FAR}, 'line': -x.line, 'col': -x.col, 'k': -x.k, 'asn': x.asn}}))[1] AS best
+            FROM (SELECT u.pk, u.k, u.asn, {_ME} AS me, list_filter(g.open, lambda x: x.day >= u.day - {projects.WINDOW_DAYS}) AS fresh FROM g JOIN u ON u.pk = g.pk AND u.k = g.k + 1)))
+    SELECT asn, coalesce(pid, asn) AS project_id, CAST(count(*) OVER (PARTITION BY coalesce(pid, asn)) AS INTEGER) AS project_size FROM cases LEFT JOIN (SELECT asn, pid FROM g) USING (asn)"""
+)
 def project_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters; order-dependent, so tests hold it against brute force instead of SQL."""
+    """Greedy clusters; the SQL walks a sponsor's cases one by one, with the open projects in a list."""
     return projects.assign_projects(s.cases(spark, sf_dir).withColumn("project_key", (F.col("custkey") % 40).cast("string")))
 
 

@@ -141,10 +141,10 @@ def quarter_from_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.quarterly(truth.first_filed(s.facts(spark, sf_dir), ["entity"]), ["entity"]).withColumn("value", F.round("value", 2))
 
 
-@query(f"WITH {_QUARTERLY} SELECT period, 'sum' AS entity, round(sum(value), 1) AS value, max(filed) AS filed FROM quarters GROUP BY period HAVING count(*) = 3")
+@query(f"WITH {_QUARTERLY} SELECT period, 'sum' AS entity, round(sum(value), 2) AS value, max(filed) AS filed FROM quarters GROUP BY period HAVING count(*) = 3")
 def sum_when_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = truth.quarterly(truth.first_filed(s.facts(spark, sf_dir), ["entity"]), ["entity"])
-    return truth.sum_when_complete(q, 3, "sum").withColumn("value", F.round("value", 1))
+    return truth.sum_when_complete(q, 3, "sum").withColumn("value", F.round("value", 2))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
