@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal import session
 
+#: Bits (a power of two) of the filters by which rows that nothing happens to are told before they move.
+FILTER = 24
+
 #: Arrow batches of the steps that are staged.
 SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
@@ -59,13 +62,25 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 <
             yield batch.slice(lo, step)
 
 
+def name_filter(names: DataFrame, column: str) -> DataFrame:
+    """A bit for each name of a column, in words of 64: at most 2^(FILTER - 6) rows, however many names. Staged."""
+    at = names.select(F.pmod(F.xxhash64(column), F.lit(1 << FILTER)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63L AS int))").alias("bit"))
+    return staged(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+
+
+def passed(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """rows with passed: false only for those whose name is not in the filter (words, which is broadcast).
+
+    So whole texts need not move where only few of them are asked for: an exact join follows on those that pass. With
+    more names than bits more pass, and the result is the same.
+    """
+    rows = rows.withColumn("at_", F.pmod(F.xxhash64(column), F.lit(1 << FILTER))).withColumn("word", F.shiftright("at_", 6))
+    met = rows.join(F.broadcast(words), "word", "left")
+    return met.withColumn("passed", F.expr("coalesce(bits & shiftleft(1L, cast(at_ & 63L AS int)) <> 0, false)")).drop("at_", "word", "bits")
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A name made of identifier and whole text; nulls count as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches for the session."""
-    for name, value in SMALL.items():
-        spark.conf.set(name, value)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import ascii_lower, join_hot, staged
+from sitesignal.llm.common import ascii_lower, join_hot, name_filter, passed, staged
 
 #: Runs merged into one in each round.
 FAN_IN = 16
@@ -33,7 +33,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _merge(runs: DataFrame, fan_in: int) -> DataFrame:
-    """One round: fan_in runs become one; verified equal entries unite, the best entry stays."""
+    """One round: fan_in runs become one; verified equal entries unite, the best entry stays.
+
+    The best entry is a struct, which no hash aggregation holds: each run is sorted and its neighbours united where it
+    lies, the runs are exchanged, sorted together, and neighbours united again (Sort and SortAggregate on either side).
+    """
     bits = fan_in.bit_length() - 1
     return (
         runs.withColumn("run", F.shiftright("run", bits))
@@ -84,18 +88,19 @@ def exact_dedup(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
 
-    Rows are matched by identifier and digest. Only rows that repeat both, which no column tells apart, need the extra
-    pass that leaves one of them.
+    Only rows whose digest is among those of dropped rows move; they are matched by identifier and digest. Rows that
+    repeat both, which no column tells apart, need an extra pass that leaves one of them.
     """
     marked = staged(exact_dedup(docs, id_col, text_col, keep), "dedup-marked")
-    winners = marked.where("kept").select(F.col(id_col).alias("wid"), F.col("text_sha256").alias("wsha"))
     sha = F.sha2(F.encode(ascii_lower(F.col(text_col)), "UTF-8"), 256)
-    left = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), sha.alias("sha"))
-    kept = left.join(winners, left["sha"].eqNullSafe(winners["wsha"]) & left["id"].eqNullSafe(winners["wid"]), "left_semi")
-    again = marked.where(F.col("keep_id").eqNullSafe(F.col(id_col)) & ~F.col("kept"))
-    again = again.select(F.col(id_col).alias("wid"), F.col("text_sha256").alias("wsha")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), sha.alias("sha"))
+    named = lambda df: df.select(F.col(id_col).alias("wid"), F.col("text_sha256").alias("wsha")).distinct()
+    lost = staged(named(marked.where("NOT kept")), "dedup-lost")
+    rows = passed(rows, "sha", name_filter(lost, "wsha"))
+    asked = rows.where("passed")
+    on = lambda names: asked["sha"].eqNullSafe(names["wsha"]) & asked["id"].eqNullSafe(names["wid"])
+    kept = rows.where("NOT passed").unionByName(asked.join(lost, on(lost), "left_anti"))
+    again = named(marked.where(F.col("keep_id").eqNullSafe(F.col(id_col)) & ~F.col("kept")))
     if again.limit(1).count():
-        twice = kept["sha"].eqNullSafe(again["wsha"]) & kept["id"].eqNullSafe(again["wid"])
-        once = kept.join(again, twice, "left_semi").dropDuplicates(["sha", "id"])
-        kept = kept.join(again, twice, "left_anti").unionByName(once)
+        kept = kept.unionByName(asked.join(again, on(again), "left_semi").dropDuplicates(["sha", "id"]))
     return kept.select("doc.*")

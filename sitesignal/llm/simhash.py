@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import join_hot, pieces, row_key, staged
+from sitesignal.llm.common import join_hot, name_filter, passed, pieces, row_key, staged
 from sitesignal.llm.components import components
 
 #: Nodes in one BK-tree.
@@ -345,6 +345,24 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield cut(True)
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, those whose value an other row has as well; one row at a time is held back."""
+    last, met = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        value = batch.column(0).to_numpy()
+        same = value[1:] == value[:-1]
+        keep = np.concatenate([[last is not None and met], same]) | np.concatenate([same, [False]])
+        if keep[:-1].any():
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        last, met = batch.slice(batch.num_rows - 1), bool(keep[-1])
+    if last is not None and met:
+        yield last
+
+
 def _across(similarity: float):
     """All pairs of a cell's texts in different groups that may reach the similarity, but for those of one part where
     `inner` is false (they meet in another cell)."""
@@ -432,7 +450,9 @@ def _alike(links: DataFrame, prints: DataFrame, rows: DataFrame, words: int, sim
     close = staged(close.mapInArrow(near, "a long, b long"), "close")
     asked = close.select(F.col("a").alias("nid")).unionByName(close.select(F.col("b").alias("nid"))).distinct()
     asked = asked.join(prints.select("nid", "key"), "nid")
-    wanted = rows.join(asked.hint("shuffle_hash"), "key").select("nid", "text")
+    asked = staged(asked, "asked")
+    wanted = passed(rows, "key", name_filter(asked, "key")).where("passed")
+    wanted = wanted.join(asked.hint("shuffle_hash"), "key").select("nid", "text")
     hashes = staged(wanted.mapInArrow(sets, "nid long, hashes binary").dropDuplicates(["nid"]), "shingles")
     left, right = (hashes.select(F.col("nid").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     checked = close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
@@ -469,7 +489,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             sets = list(_sets(batch.column(2).to_pylist(), words))
             fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary()), pa.array(fps)]
+            columns = [pa.array([len(h) for h in sets], pa.int32()), pa.array([_parity(h) for h in sets], pa.binary()), pa.array(fps)]
             tokens = pa.array([_prefix(h, late, similarity).tobytes() for h in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, tokens], names=["key", "id", "n", "bits", "fp", "tokens"])
 
@@ -480,10 +500,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             count = np.array([len(t) for t in found])
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            columns = [np.concatenate(found), *[np.repeat(batch.column(k).to_numpy(), count) for k in (0, 1)], at]
+            columns = [np.concatenate(found), *[np.repeat(batch.column(k).to_numpy(), count) for k in (0, 1)], at.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "nid", "n", "at"])
 
-    prints = rows.mapInArrow(sketch, f"key string, id {id_type}, n long, bits binary, fp long, tokens binary")
+    prints = rows.mapInArrow(sketch, f"key string, id {id_type}, n int, bits binary, fp long, tokens binary")
     prints = staged(prints.withColumn("nid", F.monotonically_increasing_id()), "prints")
     once = staged(prints.groupBy("key", "id").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("size")), "once")
     if once.where("size > 1").limit(1).count():
@@ -498,9 +518,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = staged(links, "candidates")
     alike = _alike(links, prints, rows, words, similarity)
 
-    cells = prints.select("nid", "n", "tokens").mapInArrow(entries, "token long, nid long, n long, at long")
-    shared = staged(cells.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    cells, one = staged(cells.join(shared, "token", "left_semi"), "cells"), True
+    cell = "token long, nid long, n int, at int"
+    cells = prints.select("nid", "n", "tokens").mapInArrow(entries, cell).repartition("token").sortWithinPartitions("token")
+    cells, one = staged(cells.mapInArrow(_repeated, cell), "cells"), True
     while True:
         labels = components(alike)
         apart = cells.join(labels.withColumnRenamed("node", "nid"), "nid", "left")
@@ -530,9 +550,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that are their group's first, with all their columns; of rows that repeat, one."""
     groups = staged(similar_groups(docs, id_col, text_col, words, similarity), "groups")
-    names = groups.where("key = first").select("key")
-    keyed = docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key"))
-    kept = keyed.join(names.hint("shuffle_hash"), "key", "left_semi")
+    names = groups.where("key <> first").select("key")
+    keyed = passed(docs.select(F.struct("*").alias("doc"), row_key(id_col, text_col).alias("key")), "key", name_filter(names, "key"))
+    kept = keyed.where("NOT passed").unionByName(keyed.where("passed").join(names, "key", "left_anti")).drop("passed")
     again = staged(docs.select(row_key(id_col, text_col).alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeats")
     if again.limit(1).count():
         once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])

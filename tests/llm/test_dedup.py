@@ -9,7 +9,8 @@ import pytest
 
 import sitesignal.llm.simhash as simhash
 import sitesignal.llm.suffix_dedup as suffix
-from sitesignal.llm import exact_dedup
+from sitesignal.llm import exact_dedup, mixing
+from sitesignal.llm.common import staged
 from sitesignal.llm.components import components
 from sitesignal.llm.queries import ORACLES, QUERIES
 
@@ -280,3 +281,29 @@ def test_shingles_that_come_last_lose_no_pair(spark):
         if i % 20 == 0:
             texts.append((1000 + i, " ".join([line, *base, word()])))
     exactly_the_first(spark, texts)
+
+
+def test_runs_are_merged_by_sorting(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string").repartition(8)
+    entries = staged(exact_dedup.digests(docs), "test-digests")
+    runs = entries.select("run", "h", "sha", "n", exact_dedup.F.struct("id").alias("best"), exact_dedup.F.lit(1).alias("size"))
+    plan = exact_dedup._merge(runs, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 2 and "HashAggregate" not in plan
+
+
+def test_columns_that_clash_come_through(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    names = ["__key", "__sha", "__copy", "__text", "key", "doc", "id", "sha", "copies", "rows", "token", "cell"]
+    rows = [(k, words if k < 3 else f"{words} {k} " * k, "s", *[f"{n}-{k}" for n in names]) for k in range(8)]
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for kept in (exact_dedup.keep_first(docs), simhash.keep_first(docs), mixing.take(docs)):
+        out = kept.collect()
+        assert kept.columns == docs.columns and out
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in out for n in names)
+
+
+def test_settings_are_left_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    simhash.near_dedup(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")).collect()
+    assert spark.conf.get(name) == before

@@ -7,6 +7,7 @@ import pytest
 
 from sitesignal.llm import mixing, topk
 from sitesignal.llm.bpe import ByteBPE, bpe_round_trip
+from sitesignal.llm.common import staged
 from sitesignal.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 
@@ -160,3 +161,14 @@ def test_mix_of_repeats_and_nothing(spark):
     assert mixing.mix(none).count() == 0 and mixing.take(none).count() == 0
     blank = spark.createDataFrame([(1, None, "s"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r["size"], r.target, r.taken) for r in mixing.mix(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_mixing_of_rows_that_repeat(spark):
+    """A third of all rows repeat one document, others have no identifier: no group of a flight is hot, targets are met."""
+    rows = [(7, "a b c d", "x")] * 3000 + [(None, "e f g", "y")] * 2000 + [(100 + k, "w " * (1 + k % 9), "z") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = mixing.numbered(staged(mixing.sizes(docs, "doc_id", "text", "source"), "t"))
+    again = [r.again for r in rows.where("id = 7").collect()]
+    assert sorted(again) == list(range(3000)) and rows.where("id > 99 AND again > 0").count() == 0
+    got = mixing.mix(docs).groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    assert len(got) == 3 and all(abs(r["sum(taken)"] - r.target) <= 0.01 * r.target + 10 for r in got)
