@@ -23,7 +23,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept")
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    # a cut may part the bytes of a character: what is no character then is U+FFFD in the text, not in kept_sha256
+    return out.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +115,25 @@ ORACLES = {
         ),
         r AS (SELECT *, pos - row_number() OVER (PARTITION BY k, level ORDER BY pos) AS run FROM l2 WHERE level > 0),
         p AS (SELECT k, conv_id, turn, level, string_agg(content, chr(10) ORDER BY pos) AS passage FROM r GROUP BY k, conv_id, turn, level, run),
-        q0 AS (SELECT conv_id, turn, level, unnest(list_prepend(passage, string_split(passage, chr(10)))) AS x FROM p),
-        q AS (SELECT DISTINCT conv_id, turn, level, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM q0),
-        s0 AS (SELECT conv_id, turn, unnest(list_prepend(own, string_split(own, chr(10)))) AS x FROM o),
-        s AS (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM s0),
+        q0 AS (
+            SELECT conv_id, turn, level, true AS whole, passage AS x FROM p
+            UNION ALL SELECT conv_id, turn, level, false, unnest(string_split(passage, chr(10))) FROM p
+        ),
+        q AS (
+            SELECT DISTINCT conv_id, turn, level, piece FROM (SELECT *, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM q0)
+            WHERE length(piece) >= 12 OR whole AND length(piece) > 0
+        ),
+        s0 AS (
+            SELECT conv_id, turn, true AS whole, own AS x FROM o
+            UNION ALL SELECT conv_id, turn, false, unnest(string_split(own, chr(10))) FROM o
+        ),
+        s AS (
+            SELECT DISTINCT conv_id, turn, piece FROM (SELECT *, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS piece FROM s0)
+            WHERE length(piece) >= 12 OR whole AND length(piece) > 0
+        ),
         f AS (
             SELECT q.conv_id, q.turn, q.level, q.piece, max(s.turn) AS found
-            FROM q JOIN s ON q.conv_id = s.conv_id AND q.piece = s.piece AND s.turn < q.turn AND length(q.piece) >= 12 GROUP BY ALL
+            FROM q JOIN s ON q.conv_id = s.conv_id AND q.piece = s.piece AND s.turn < q.turn GROUP BY ALL
         ),
         v AS (SELECT conv_id, turn, level, found, sum(length(piece)) AS w FROM f GROUP BY ALL),
         b AS (SELECT conv_id, turn, arg_max(found, (-level, w, found)) AS voted FROM v GROUP BY ALL),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import bounded_batches, join_hot, staged
+from sitesignal.llm.common import HOT_KEYS, join_hot, name_filter, passed, pieces, staged
 
 #: Bytes of a gram: the shortest first, then those for the strings of large collections; None: whole strings.
 GRAMS = (64, 256, 384, None)
@@ -38,9 +38,8 @@ GRAMS = (64, 256, 384, None)
 PART = 1 << 20
 #: Bytes of lined-up stretches that are indexed together.
 CHUNK = 8 << 20
-#: Stretches from which a collection's strings get a longer anchor; of so many collections at a time, the largest.
+#: Entries from which a collection's strings get a longer anchor.
 LARGE = 32768
-LISTED = 4096
 
 _BITS = 22  # of a place within a part
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -257,29 +256,35 @@ def _find(length: int):
     return run
 
 
-def _anchors(docs: DataFrame, length: int, large: tuple[np.ndarray, ...]) -> DataFrame:
-    """v, th, start, left, n, b for each stretch of each text; th: the first 16 bytes of its SHA-256; b: a hash of all
-    bytes of the stretch."""
-    shared = docs.sparkSession.sparkContext.broadcast(large)  # LISTED names for each step at most
+STRETCHES = "v long, th binary, start long, left short, n short, b long, c long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
+def _anchors(length: int):
+    """v, th, start, left, n, b, c for each stretch of each text; th: the first 16 bytes of its SHA-256; b and c: the first
+    128 bits of the SHA-256 of all bytes of the stretch. A second column names collections, by step, whose strings go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t is not None and len(t) >= length]
+            large: tuple[np.ndarray, ...] = ()
+            if batch.num_columns > 1:
+                # each text lists the names it holds; that another one's are looked for as well does no harm
+                named = {(r["step"], r["v"]) for names in batch.column(1).to_pylist() for r in names}
+                large = tuple(np.array([v for s, v in named if s == step], dtype=np.int64).view(np.uint64) for step in range(1, len(GRAMS)))
             th = [hashlib.sha256(t).digest()[:16] for t in texts]
-            for which, start, left, n, v in text_stretches(texts, length, shared.value):
+            for which, start, left, n, v in text_stretches(texts, length, large):
                 ends = start + n + length - 1
-                whole = [xxh64_intdigest(texts[k][lo:hi]) for k, lo, hi in zip(which.tolist(), start.tolist(), ends.tolist(), strict=True)]
+                whole = [hashlib.sha256(texts[k][lo:hi]).digest()[:16] for k, lo, hi in zip(which.tolist(), start.tolist(), ends.tolist(), strict=True)]
+                whole = np.frombuffer(b"".join(whole), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(v.view(np.int64)), pa.array([th[k] for k in which.tolist()], pa.binary()), pa.array(start.astype(np.int64)),
-                        pa.array(left.astype(np.int16)), pa.array(n.astype(np.int16)), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)),
+                        pa.array(left.astype(np.int16)), pa.array(n.astype(np.int16)), pa.array(whole[:, 0]), pa.array(whole[:, 1]),
                     ],
-                    names=["v", "th", "start", "left", "n", "b"],
+                    names=["v", "th", "start", "left", "n", "b", "c"],
                 )
 
-    return docs.select("bytes").mapInArrow(run, "v long, th binary, start long, left short, n short, b long")
+    return run
 
 
 def _cut(length: int):
@@ -304,21 +309,32 @@ def _cut(length: int):
     return run
 
 
-ENTRY = ["v", "left", "n", "b"]
+ENTRY = ["v", "left", "n", "b", "c"]
 
 
 def collections(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Staged: all stretches, and their entries: ENTRY, rep (th and start of one), size, and others in the collection."""
-    large: tuple[np.ndarray, ...] = ()
-    while True:
-        found = staged(_anchors(docs, length, large).distinct(), "suffix-anchors")
+    """Staged: all stretches, and their entries: ENTRY, rep (th and start of one), size, and others in the collection.
+
+    While there are collections of over LARGE entries, the texts that they come from, and no others, get longer anchors
+    for these; each text brings the names along that it needs, so how many there are does not matter.
+    """
+    found = staged(docs.select("bytes").mapInArrow(_anchors(length), STRETCHES).distinct(), "suffix-anchors")
+    asked = None
+    for step in range(1, len(GRAMS) + 1):
         entries = found.groupBy(*ENTRY).agg(F.min(F.struct("th", "start")).alias("rep"), F.count(F.lit(1)).alias("size"))
         entries = staged(entries, "suffix-entries")
         counts = staged(entries.groupBy("v").count().where("count > 1"), "suffix-collections")
-        top = counts.where(F.col("count") > LARGE).orderBy(F.desc("count"), "v").limit(LISTED).collect() if len(large) < len(GRAMS) - 1 else []
-        if not top:
-            return found, entries.join(counts, "v", "left").withColumn("others", F.coalesce("count", F.lit(1)) - 1).drop("count")
-        large = (*large, np.array([r["v"] for r in top], dtype=np.int64).view(np.uint64))
+        large = counts.where(F.col("count") > LARGE).select("v")
+        if step == len(GRAMS) or not large.limit(1).count():
+            break
+        new = staged(found.join(large, "v", "left_semi").select("th", "v", F.lit(step).alias("step")).distinct(), "suffix-large")
+        asked = new if asked is None else asked.unionByName(new)
+        texts = asked.join(new.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.collect_set(F.struct("step", "v")).alias("names"))
+        texts = staged(texts, "suffix-again")
+        named = docs.select("bytes", F.substring(F.unhex(F.sha2("bytes", 256)), 1, 16).alias("th")).join(texts.hint("shuffle_hash"), "th")
+        again = named.select("bytes", "names").mapInArrow(_anchors(length), STRETCHES).distinct()
+        found = staged(found.join(texts.select("th"), "th", "left_anti").unionByName(again), "suffix-anchors")
+    return found, entries.join(counts, "v", "left").withColumn("others", F.coalesce("count", F.lit(1)) - 1).drop("count")
 
 
 def _take_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -337,13 +353,12 @@ def _take_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, li
     return b"".join(kept), sum(hi - lo for lo, hi in runs), [(lo, hi) for lo, hi in runs]
 
 
-def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """For rows (id, bytes): a staged table of the rows (id, n, sha, size: rows with this text) and one of the texts
-    that lose bytes, once each (th, text, spans)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """For rows (id, bytes): a staged table of the texts (sha, n, owner: the smallest id, size: rows with this text), one of
+    the rows (id, n, sha, size), one of the texts that lose bytes, once each (th, bytes, spans), and the filter of all texts
+    that repeat or share anything."""
     rows = staged(docs.select("id", F.octet_length("bytes").cast("long").alias("n"), F.unhex(F.sha2("bytes", 256)).alias("sha")), "suffix-texts")
-    texts = staged(rows.groupBy("sha").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("size")), "suffix-distinct")
+    texts = staged(rows.groupBy("sha").agg(F.min("id").alias("owner"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size")), "suffix-distinct")
     found, entries = collections(docs, length)
     entries = staged(entries.where("size > 1 OR others > 0"), "suffix-repeated")
     # what is known by the entries alone, and what has to be indexed
@@ -355,6 +370,9 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     owners = texts.select(F.substring("sha", 1, 16).alias("th"), "owner")
     asked = staged(places.join(equal, "th", "full").join(owners, "th").withColumnRenamed("th", "t"), "suffix-asked")
     named = docs.select("id", "bytes", F.substring(F.unhex(F.sha2("bytes", 256)), 1, 16).alias("th"))
+    copies = texts.where((F.col("size") > 1) & (F.col("n") >= length)).select(F.substring("sha", 1, 16).alias("th"))
+    words = name_filter(asked.select(F.col("t").alias("th")).unionByName(copies), "th")
+    named = passed(named, "th", words).where("passed").drop("passed")
     asked_of = named.join(asked.hint("shuffle_hash"), (named["th"] == asked["t"]) & named["id"].eqNullSafe(asked["owner"]))
     asked_of = staged(asked_of.select("th", "bytes", "places", "equal"), "suffix-shared")
     cut = asked_of.where("places IS NOT NULL").select("th", "bytes", "places")
@@ -365,40 +383,44 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     both = F.concat(F.coalesce("equal", none), F.coalesce("spans", none))
     lost = lost.select("th", "bytes", both.alias("spans")).where(F.size("spans") > 0)
-    return join_hot(rows, texts.select("sha", "size"), ["sha"], "size"), lost
+    return texts, join_hot(rows, texts.select("sha", "size"), ["sha"], "size"), lost, words
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept (binary), kept_sha256; kept is null where
-    nothing goes, since it is the text then.
+    """One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
 
     A null text counts as empty. Texts shorter than length lose nothing; texts that occur twice, rows that repeat
     included, lose all if they are as long as that. Strings are compared within and across texts, never across a border
-    between texts, and are judged on the input. An empty table gives an empty result; other columns are not read.
+    between texts, and are judged on the input. Texts are handled whole, however long: over PART bytes in parts that
+    overlap by a string. An empty table gives an empty result; other columns are not read.
     """
     assert GRAMS[-2] < length < 4096, "length is out of range"
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("bytes"))
-    entries, lost = repeated_spans(rows, length)
+    texts, entries, lost, words = repeated_spans(rows, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = [_take_out(t, [(s["lo"], s["hi"]) for s in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[1] for x in out], pa.int64()), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary())],
-                names=["th", "n_removed", "n_spans", "kept"],
+                names=["th", "n_removed", "n_spans", "left_over"],
             )
 
-    edited = lost.select("th", "bytes", "spans").mapInArrow(run, "th binary, n_removed long, n_spans long, kept binary")
+    edited = lost.select("th", "bytes", "spans").mapInArrow(run, "th binary, n_removed long, n_spans long, left_over binary")
+    shape = lambda df, **named: df.select(
+        F.col("id").alias(id_col), *[named[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")], F.sha2(named["kept"], 256).alias("kept_sha256")
+    )
+    none, size = F.lit(0).cast("long"), F.octet_length("bytes").cast("long")
+    short = shape(rows.where(size < length), n_bytes=size, n_removed=none, n_spans=none, kept=F.col("bytes"))
+    # copies lose all; the most frequent ones are passed over before texts move
     copies = (F.col("size") > 1) & (F.col("n") >= length)
-    single = entries.where(~copies).withColumn("th", F.substring("sha", 1, 16)).join(edited, "th", "left")
-    sha = F.when(F.col("kept").isNull(), F.lower(F.hex("sha"))).otherwise(F.sha2("kept", 256))
-    whole = entries.where(copies)
-    return single.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "kept", sha.alias("kept_sha256"),
-    ).unionByName(
-        whole.select(
-            F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-            F.lit(b"").alias("kept"), F.sha2(F.lit(b""), 256).alias("kept_sha256"),
-        )
-    )
+    whole = shape(entries.where(copies), n_bytes=F.col("n"), n_removed=F.col("n"), n_spans=F.lit(1).cast("long"), kept=F.lit(b""))
+    th = lambda c: F.substring(c, 1, 16)
+    hot = texts.where(copies).orderBy(F.desc("size"), "sha").limit(HOT_KEYS).select(th("sha").alias("th"))
+    long = passed(rows.where(size >= length).withColumn("th", th(F.unhex(F.sha2("bytes", 256)))), "th", words)
+    alone = shape(long.where("NOT passed"), n_bytes=size, n_removed=none, n_spans=none, kept=F.col("bytes"))
+    single = long.where("passed").join(F.broadcast(hot), "th", "left_anti")
+    fate = texts.where(~copies & (F.col("n") >= length)).select(th("sha").alias("th")).join(edited, "th", "left")
+    single = single.join(fate, "th")
+    single = shape(single, n_bytes=size, n_removed=F.coalesce("n_removed", none), n_spans=F.coalesce("n_spans", none), kept=F.coalesce("left_over", "bytes"))
+    return short.unionByName(whole).unionByName(alone).unionByName(single)
