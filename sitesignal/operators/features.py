@@ -61,21 +61,24 @@ def both_bases(prepared: DataFrame) -> DataFrame:
 def panel(prepared: DataFrame, daily: DataFrame, freq: str, asof: Column | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
     """The long sparse panel: KEYS, n, n_hw, n_projects, complete.
 
-    daily: date_entered, n of all cases, for the coverage rows. Each filing is listed with the names it counts for (its
-    entity, and its groups), and one aggregation with grouping sets makes all totals over category and kind. asof: the
-    last day known, by default the last one of daily.
+    daily: date_entered, n of all cases, for the coverage rows. Filings are counted by period and by all that decides where
+    they count, which leaves a small table; each of its rows is listed with the names it counts for (its entity, and its
+    groups), and one aggregation with grouping sets makes all totals over category and kind. asof: the last day known, by
+    default the last one of daily.
     """
     names = F.array_compact(F.array(
         F.when(F.col("entity").isNotNull() & F.col("entity_type").isin(*ENTITY_TYPES), F.struct(F.lit("entity").alias("level"), F.col("entity").alias("name"))),
         *[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit("group").alias("level"), F.lit(n).alias("name"))) for n, c in group_conditions().items()],
     ))
-    rows = both_bases(prepared).withColumn("member", F.explode(names))
-    rows = rows.select(period_start(F.col("date_entered"), freq).alias("period"), "basis", "member.level", "member.name", "category", "kind", "w", "project_start")
+    decides = ("basis", "category", "kind", "entity", "ticker", "entity_type")
+    few = both_bases(prepared).groupBy(period_start(F.col("date_entered"), freq).alias("period"), *decides)
+    few = few.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("n_hw"), F.count_if("project_start").alias("n_projects"))
+    rows = few.withColumn("member", F.explode(names)).select("period", "basis", "member.level", "member.name", "category", "kind", "n", "n_hw", "n_projects")
     by = [F.col(c) for c in KEYS]
     sets = rows.groupingSets([by, by[:4] + [by[4]], by[:4] + [by[5]], by[:4]], *by)
     counted = sets.agg(
-        F.grouping("category").alias("g_category"), F.grouping("kind").alias("g_kind"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("n_hw"),
-        F.count_if("project_start").alias("n_projects"),
+        F.grouping("category").alias("g_category"), F.grouping("kind").alias("g_kind"), F.sum("n").alias("n"), F.sum("n_hw").alias("n_hw"),
+        F.sum("n_projects").alias("n_projects"),
     )
     counted = counted.withColumns({c: F.when(F.col(f"g_{c}") == 1, F.lit("all")).otherwise(F.col(c)) for c in ("category", "kind")}).drop("g_category", "g_kind")
     total = F.sum("n").cast("long")
