@@ -123,6 +123,58 @@ def test_op9_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_against_a_plain_version(spark):
+    """Vectors built n-gram by n-gram from the letters' vectors, for texts of one batch and of texts longer than one."""
+    import numpy as np
+
+    rng = random.Random(4)
+    words = {"aa": ["der", "die", "und", "straße"], "bb": ["the", "of", "and", "thing"], "cc": ["日本", "語の", "文章"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 40))) + rng.choice(["", "!!", " 12 "]), lang) for k in range(60) for lang in [rng.choice(sorted(words))]]
+    rows += [(60, "der the und " * 3, None), (61, "Ω", None), (62, "The OF", None)]
+    made = langid.Profiles()
+
+    def vector(text):
+        total = np.zeros(langid.DIMS)
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split(" ")) + " "
+        while "  " in clean:
+            clean = clean.replace("  ", " ")
+        for i in range(len(clean) - 2):
+            v = np.ones(langid.DIMS)
+            for place, c in enumerate(clean[i : i + 3]):
+                v *= np.roll(made.letter(ord(c)), 2 - place)
+            total += v
+        return total / np.linalg.norm(total)
+
+    learned = {}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in df.where(langid.held_out()).collect()}
+    for k, text, lang in rows:
+        if lang and k not in held:
+            learned[lang] = learned.get(lang, 0) + vector(text)
+    learned = {lang: v / np.linalg.norm(v) for lang, v in sorted(learned.items())}
+    got = {r.doc_id: r for r in langid.language_id(df).collect()}
+    for k, text, _ in rows:
+        cosine = {lang: float(p @ vector(text)) for lang, p in learned.items()}
+        best = max(cosine, key=cosine.get)
+        assert got[k].lang_pred == best and abs(got[k].score - max(0.0, cosine[best])) < 1e-4
+
+
+def test_scores_against_a_plain_version(spark):
+    """Table look-ups one by one, for the model that the operator has fitted."""
+    import math
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    place = lambda cut, v: sum(1 for c in cut if c <= v)
+    for r in quality.score(docs, model).collect():
+        x = quality.features(texts[r.doc_id])
+        total = model.base + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, x, strict=True))
+        total += sum(t[place(ci, x[i]), place(cj, x[j])] for i, j, ci, cj, t in model.pairs)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, "der und die das " * 3, "de") for i in range(8)] + [(i, "the and of that " * 3, "en") for i in range(8, 16)] + [(20, None, "de"), (21, "123 !!", "en"), (22, "", None), (23, "Die und", None), (None, "the of", None), (24, "ß" * 200_000, None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
