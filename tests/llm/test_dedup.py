@@ -88,6 +88,23 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, large):
     rows = suffix.suffix_dedup(odd(spark, texts)).collect()
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows], key=str)
     assert got == brute_suffix(texts, 400)
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in rows)
+
+
+def test_filter_passes_all_names(spark, monkeypatch):
+    """With fewer bits than names more rows pass, and none that is asked for is lost."""
+    from sitesignal.llm import common
+
+    rows = spark.range(2000).selectExpr("cast(id AS string) AS name")
+    for bits, most in ((24, 0), (7, 2000)):
+        monkeypatch.setattr(common, "FILTER", bits)
+        out = common.passed(rows, "name", common.name_filter(rows.where("name < '3'"), "name")).collect()
+        assert all(r.passed for r in out if r.name < "3") and sum(r.passed for r in out if r.name >= "3") <= most
+    monkeypatch.setattr(common, "FILTER", 6)
+    monkeypatch.setattr(suffix, "LARGE", 3)
+    texts = passages(3)
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_dedup(odd(spark, texts)).collect()], key=str)
+    assert got == brute_suffix(texts, 400)
 
 
 def test_long_texts_go_in_parts(monkeypatch):
@@ -108,6 +125,8 @@ def test_op2_against_brute_force(spark, sf):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows = QUERIES["op2_suffix_dedup"](spark, sf).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows], key=str) == brute_suffix(texts, 400)
+    whole = [r for r in rows if "\ufffd" not in r.kept_text]
+    assert len(whole) > 0.9 * len(rows) and all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in whole)
 
 
 def brute_print(text, words=4):
