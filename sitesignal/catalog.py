@@ -1,4 +1,4 @@
-"""All queries over the reference tables, with their oracle SQL."""
+"""All queries that are no training-data operators, with their oracle SQL."""
 
 from __future__ import annotations
 
