@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions.text import says_existing
-from sitesignal.operators.spatial import PRIOR_MIN_DAYS, PRIOR_RADIUS_M, prior_cases
+from sitesignal.operators.spatial import PRIOR_MIN_DAYS, PRIOR_RADIUS_M, with_prior
 
 # Categories that get a verdict and those whose filings count as earlier ones; margins in days; and the
 # signals in the order in which they decide.
@@ -39,7 +39,7 @@ def signals(cases: DataFrame, matches: DataFrame) -> DataFrame:
     matches: asn, match_method, asr_registration_date, asr_date_constructed.
     """
     cases, matches = cases.select(*INPUT), matches.select(*MATCH_INPUT)
-    prior = prior_cases(_of(cases, CATEGORIES), _of(cases, PRIOR_CATEGORIES))
+    prior = with_prior(_of(cases, CATEGORIES), _of(cases, PRIOR_CATEGORIES)).withColumn("prior", F.lit(True))
     d = _of(cases, CATEGORIES).join(matches, "asn", "left").join(prior, "asn", "left")
     existing, new = F.lit("existing"), F.lit("new")
     matched = F.col("match_method").isNotNull()
@@ -48,7 +48,7 @@ def signals(cases: DataFrame, matches: DataFrame) -> DataFrame:
         F.when(before("asr_registration_date", REGISTERED_DAYS), existing).when(before("asr_date_constructed", BUILT_DAYS), existing).when(matched, new).alias("bk_asr"),
         F.when(before("date_built", BUILT_DAYS), existing).alias("bk_faa_built"),
         F.when(says_existing(F.col("structure_description")), existing).alias("bk_keyword"),
-        F.when(F.col("n_prior_cases") > 0, existing).alias("bk_prior_case"),
+        F.when(F.col("prior"), existing).alias("bk_prior_case"),
         F.when(F.col("fcc_asr_number").isNotNull() & ~matched, existing).alias("bk_asr_number"),
     )
 
@@ -93,14 +93,14 @@ def pit_kind(
     """
     standing = F.col("asr_date_dismantled").isNull() | (F.col("asr_date_dismantled") >= F.col("date_entered"))
     sure = lambda c: F.coalesce(c, F.lit(False))
-    prior = prior_cases(_of(cases, CATEGORIES), _of(cases, PRIOR_CATEGORIES), radius_m, min_days, lookback_days)
+    prior = with_prior(_of(cases, CATEGORIES), _of(cases, PRIOR_CATEGORIES), radius_m, min_days, lookback_days).withColumn("prior", F.lit(True))
     d = _of(cases, CATEGORIES).join(prior, "asn", "left").select(
         "asn",
         sure(standing & before("asr_registration_date", registered_days)).alias("asr_registered"),
         sure(standing & before("asr_date_constructed", built_days)).alias("asr_constructed"),
         sure(before("date_built", built_days)).alias("faa_built"),
         says_existing(F.col("structure_description")).alias("keyword"),
-        (F.coalesce("n_prior_cases", F.lit(0)) > 0).alias("prior_case"),
+        sure(F.col("prior")).alias("prior_case"),
     )
     basis = F.coalesce(*[F.when(F.col(e), F.lit(e)) for e in EVIDENCE], F.lit("none"))
     d = d.withColumn("pit_basis", basis)
